@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.keyword_pages import p8_found, p8_scores
 from dossier.llm.near_duplicates import p5_found
+from dossier.llm.repeated_lines import P4_FOUND_SQL, p4_clean, p4_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
     "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": P4_FOUND_SQL,
+}
