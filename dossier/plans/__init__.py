@@ -6,6 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from dossier.operators import references, timestamps
 
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": references.p2_found,
+    "p2_by_period": references.p2_by_period,
+    "p3_found": timestamps.p3_found,
+    "p3_states": timestamps.p3_states,
+}
+
+SQL: dict[str, str] = {
+    "p2_found": references.P2_FOUND_SQL,
+    "p2_by_period": references.P2_BY_PERIOD_SQL,
+}
