@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.keyword_pages import p8_found, p8_scores
+from dossier.llm.mixing import p7_mix, p7_shares
 from dossier.llm.near_duplicates import p5_found
+from dossier.llm.packing import p6_fill, p6_pack
 from dossier.llm.repeated_lines import P4_FOUND_SQL, p4_clean, p4_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_clean": p4_clean,
     "p5_found": p5_found,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
