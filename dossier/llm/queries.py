@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.llm.entity_names import p1_found, p1_unmatched
 from dossier.llm.keyword_pages import p8_found, p8_scores
 from dossier.llm.mixing import p7_mix, p7_shares
 from dossier.llm.near_duplicates import p5_found
@@ -13,6 +14,8 @@ from dossier.llm.packing import p6_fill, p6_pack
 from dossier.llm.repeated_lines import P4_FOUND_SQL, p4_clean, p4_found
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
     "p5_found": p5_found,
