@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.operators import references, timestamps
+from dossier.plans import text
+
+MODULES = (text,)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": references.p2_found,
@@ -19,3 +22,7 @@ SQL: dict[str, str] = {
     "p2_found": references.P2_FOUND_SQL,
     "p2_by_period": references.P2_BY_PERIOD_SQL,
 }
+
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
