@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.operators import references, timestamps
-from dossier.plans import text
+from dossier.plans import graph, retrieval, text
 
-MODULES = (text,)
+MODULES = (text, retrieval, graph)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": references.p2_found,
