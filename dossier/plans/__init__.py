@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.operators import references, timestamps
-from dossier.plans import graph, retrieval, text
+from dossier.plans import evidence, graph, ingest, metrics, retrieval, text
 
-MODULES = (text, retrieval, graph)
+MODULES = (text, retrieval, graph, evidence, metrics, ingest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": references.p2_found,

@@ -21,9 +21,9 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return plans.select(F.col("plan_id").alias("query_id"), F.substring_index(F.get("queries", F.lit(0)), " ", 2).alias("query")).where("query is not null")
 
 
-def asked_companies(spark: SparkSession, folder: str) -> DataFrame:
+def asked_companies(spark: SparkSession, folder: str, step: int) -> DataFrame:
     """(query_id, company_id): companies that a plan enters by their exact name or alias."""
-    entered = views.plans(spark, folder).where("plan_id % 100 = 0").select(F.col("plan_id").alias("query_id"), F.explode("companies").alias("n"))
+    entered = views.plans(spark, folder).where(F.col("plan_id") % step == 0).select(F.col("plan_id").alias("query_id"), F.explode("companies").alias("n"))
     named = views.companies(spark, folder).select("company_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
     return entered.withColumn("n", F.lower(F.trim("n"))).join(named.withColumn("n", F.lower(F.trim("n"))), "n").select("query_id", "company_id").distinct()
 
@@ -76,17 +76,17 @@ def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return views.latest(first, ["document_id"], F.desc("pipeline_version"), "chunk_id").select("chunk_id", "document_id")
 
 
-def timeline_signal(spark: SparkSession, folder: str) -> DataFrame:
+def timeline_signal(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
     """First chunks of the asked companies' documents, newest first."""
-    docs = asked_companies(spark, folder).join(views.document_companies(spark, folder), "company_id").select("query_id", "document_id").distinct()
+    docs = asked_companies(spark, folder, step).join(views.document_companies(spark, folder), "company_id").select("query_id", "document_id").distinct()
     dated = docs.join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id").join(first_chunks(spark, folder), "document_id")
     return _ranked(dated, F.desc("published"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
 
-def graph_signal(spark: SparkSession, folder: str) -> DataFrame:
+def graph_signal(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
     """First chunks of neighbours' documents: nearer companies first, an equal part of the pool each."""
     mentions = cut_lineage(views.document_companies(spark, folder))
-    asked = asked_companies(spark, folder)
+    asked = asked_companies(spark, folder, step)
     depths = graph.min_depths(asked.select(F.col("company_id").alias("seed")), graph.co_mentions(mentions), 2)
     near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy("query_id", F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
     share = near.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*"))).alias("share"))
@@ -98,8 +98,8 @@ def graph_signal(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Four signals fused; the chunks' documents are looked up only for the final ranks."""
-    signals = {"semantic": semantic_signal, "lexical": lexical_signal, "graph": graph_signal, "timeline": timeline_signal}
-    fused = fusion.fuse({name: f(spark, folder).select("query_id", "chunk_id", "rank") for name, f in signals.items()}, "chunk_id", K)
+    signals = {"semantic": semantic_signal(spark, folder), "lexical": lexical_signal(spark, folder), "graph": graph_signal(spark, folder, 100), "timeline": timeline_signal(spark, folder, 100)}
+    fused = fusion.fuse({name: df.select("query_id", "chunk_id", "rank") for name, df in signals.items()}, "chunk_id", K)
     where = views.chunks(spark, folder).select("chunk_id", "document_id")
     docs = views.documents(spark, folder).select("document_id", "title", "source")
     return where.join(F.broadcast(fused), "chunk_id").join(docs, "document_id").select("query_id", "rank", "chunk_id", "document_id", "title", "source", F.round("score", 6).alias("score"), "signals")
@@ -168,6 +168,7 @@ lexical as (select l.query_id, chunk_id, score, row_number() over (partition by
 _ASKED = """askc as (select plan_id query_id, lower(trim(unnest(companies))) n from plan where plan_id % 100 = 0),
 nam as (select company_id, lower(trim(unnest(list_concat([name], coalesce(aliases, []))))) n from companies),
 asked as (select distinct query_id, company_id from askc join nam using (n))"""
+_ASKED_ALL = _ASKED.replace(" where plan_id % 100 = 0", "")
 _FIRST = "firstc as (select chunk_id, document_id from chunk where position = 0 qualify row_number() over (partition by document_id order by pipeline_version desc, chunk_id) = 1)"
 _TIME = f"""{_FIRST},
 timeline as (select query_id, chunk_id, row_number() over (partition by query_id order by published desc, chunk_id) rank
@@ -201,8 +202,8 @@ select q.vec_id query_id, v.vec_id item_id, round(list_dot_product(q.embedding::
 from n q, n v where q.vec_id % 100 = 0 qualify rank <= 10""",
     "lexical_match_topk": with_views("plan chunk", f", {_ASK}, {_LEX} select query_id, chunk_id, score, rank from lexical where rank <= 10"),
     "semantic_signal": with_views("plan chunk", f", {_ASK}, {_HASH} select query_id, chunk_id, rank from semantic"),
-    "timeline_signal": with_views("plan chunk doc dc", f", {_ASK}, {_ASKED}, {_TIME} select query_id, chunk_id, rank from timeline"),
-    "graph_signal": with_views("plan chunk doc dc", f", {_ASK}, {_ASKED}, {_FIRST}, {_GRAPH} select query_id, chunk_id, rank from graph"),
+    "timeline_signal": with_views("plan chunk doc dc", f", {_ASKED_ALL}, {_TIME} select query_id, chunk_id, rank from timeline"),
+    "graph_signal": with_views("plan chunk doc dc", f", {_ASKED_ALL}, {_FIRST}, {_GRAPH} select query_id, chunk_id, rank from graph"),
     "hybrid_search": with_views("plan chunk doc dc", f", {_ASK}, {_HASH}, {_LEX}, {_ASKED}, {_TIME}, {_GRAPH}, "
         + _FUSE.format(" union all ".join(f"select query_id, chunk_id, {i} s, rank from {n}" for i, n in enumerate(fusion.ORDER)))
         + f" select query_id, rank, chunk_id, document_id, title, source, round(score, 6) score, {_NAMES} from fused join chunk using (chunk_id) join doc using (document_id)"),

@@ -83,7 +83,7 @@ SQL = {
     "dc": rf"""tick as (select company_id, unnest(tickers) ticker from companies),
 tag as (select document_id, unnest(list_concat(regexp_extract_all(text, '{CASHTAG}', 1), regexp_extract_all(text, '{EXCHANGE_TAG}', 1))) ticker from doc),
 dc as (select distinct document_id, company_id from tag join tick using (ticker))""",
-    "run": f"""run as (select event_id run_id, ts at, user_id document, ({list(STAGES)!r})[event_id % 7 + 1] stage,
+    "run": f"""run as (select event_id run_id, ts moment, user_id document, ({list(STAGES)!r})[event_id % 7 + 1] stage,
   case event_type when 'error' then 'failure' when 'signup' then 'pending' else 'success' end status, event_id % 4 + 1 attempt, value duration_ms from events)""",
 }
 
