@@ -79,7 +79,7 @@ SQL = {
     "queue_depth": with_views("run", "select status, count(*) n from run group by 1"),
     "stage_stats": with_views("run", "select stage, status, count(*) runs, round(avg(duration_ms), 1) mean_ms from run where moment >= (select max(moment) from run) - interval 24 hours group by 1, 2"),
     "stage_pivot": with_views("run", "select stage, count(*) filter (status = 'success') success, count(*) filter (status = 'failure') failure from run group by 1"),
-    "oldest_pending": with_views("run", "select (epoch_us(max(moment)) - epoch_us(min(moment) filter (status = 'pending'))) / 1e6 as "seconds" from run"),
+    "oldest_pending": with_views("run", "select (epoch_us(max(moment)) - epoch_us(min(moment) filter (status = 'pending'))) / 1e6 as \"seconds\" from run"),
     "retries": with_views("run", "select count(*) filter (attempt > 1) retries from run where moment >= (select max(moment) from run) - interval 24 hours"),
     "retry_backoff": with_views("run", "select run_id, epoch_us(moment) + cast(30000000 * pow(2, attempt) as bigint) due_us from run where status = 'failure'"),
     "latest_runs": with_views("run", "select stage, row_number() over (partition by stage order by moment desc, run_id desc) place, run_id, status from run qualify place <= 10"),
