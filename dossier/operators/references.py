@@ -56,7 +56,8 @@ def dangling_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets(target, target_id, deleted, since)`` may have several rows per id: it is deleted
     if any of them is, and exists since the earliest (NULL: always). A reference without
     ``created_at`` is never late and has a NULL period. Rows are kept one for one, so repeated
-    references come out repeated. Without targets every reference is missing.
+    references come out repeated, with their other columns; a column named ``state`` or ``period`` is
+    replaced, names that begin with ``ref_`` are taken. Without targets every reference is missing.
     """
     references = references.where("target_id is not null")
     per_period = references.groupBy("target", "target_id", F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("n"))
@@ -65,15 +66,16 @@ def dangling_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     heavy = counts.where(F.col("n") >= max(2.0, total / HEAVY)).select("target", "target_id")  # at most HEAVY rows
 
     def state_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("target", "target_id").agg(F.max("deleted").alias("deleted"), F.min("since").alias("since"), F.lit(True).alias("known"))
+        return rows.groupBy("target", "target_id").agg(F.max("deleted").alias("ref_deleted"), F.min("since").alias("ref_since"), F.lit(True).alias("ref_known"))
 
     key = ["target", "target_id"]
     heavy_state = F.broadcast(heavy.join(state_of(targets.join(F.broadcast(heavy), key, "left_semi")), key, "left"))
     hot = references.join(heavy_state, key)
     rest = references.join(F.broadcast(heavy), key, "left_anti").join(state_of(targets.where("target_id is not null")), key, "left")
-    state = F.when(F.col("known").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("since") > F.col("created_at"), "late")
-    judged = hot.unionByName(rest).withColumn("state", state).where("state is not null")
-    return judged.select(*references.columns, "state", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM").alias("period"))
+    state = F.when(F.col("ref_known").isNull(), "missing").when(F.col("ref_deleted"), "deleted").when(F.col("ref_since") > F.col("created_at"), "late")
+    judged = hot.unionByName(rest).withColumn("ref_state", state).where("ref_state is not null")
+    kept = [c for c in references.columns if c not in ("state", "period")]
+    return judged.select(*kept, F.col("ref_state").alias("state"), F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM").alias("period"))
 
 
 def _all(spark: SparkSession, folder: str) -> DataFrame:

@@ -95,12 +95,11 @@ def _zone_offset(zone: Column, time_zone: Column) -> Column:
 
 
 def read_timestamps(values: DataFrame) -> DataFrame:
-    """Adds the readings of ``raw`` to ``values(raw, time_zone, ...)``: ``fixed_us``, ``day_first_us``, ``month_first_us``.
+    """Adds the readings of ``raw`` to ``values(raw, time_zone, ...)``: ``ts_fixed_us``, ``ts_day_first_us``, ``ts_month_first_us``.
 
-    ``fixed_us`` is the instant of a value that has one reading only; the other two are those
+    ``ts_fixed_us`` is the instant of a value that has one reading only; the other two are those
     of a numeric date without the year in front. All are UTC microseconds, NULL where the value
-    isn't a possible date and time under that reading. Columns of ``values`` whose name starts
-    with ``ts_`` are not allowed.
+    isn't a possible date and time under that reading. Names that begin with ``ts_`` are taken.
     """
     text = F.lower(F.trim(F.regexp_replace("raw", r"[\s\p{Z}\u200b]+", " ")))
     text = F.regexp_replace(text, r"^\p{L}+\.?, ?", "")
@@ -151,20 +150,20 @@ def read_timestamps(values: DataFrame) -> DataFrame:
     numeric = F.col("ts_kind") == "numeric"
     return v.select(
         *values.columns,
-        F.coalesce("ts_epoch", F.when(~numeric, instant("a"))).alias("fixed_us"),
-        F.when(numeric, instant("b")).alias("day_first_us"),
-        F.when(numeric, instant("a")).alias("month_first_us"),
+        F.coalesce("ts_epoch", F.when(~numeric, instant("a"))).alias("ts_fixed_us"),
+        F.when(numeric, instant("b")).alias("ts_day_first_us"),
+        F.when(numeric, instant("a")).alias("ts_month_first_us"),
     )
 
 
 def _mixture(rows: pd.DataFrame, prior_weight: float | None, rounds: int) -> float:
-    """Share of the day-first format in one source, from rows (like_day, like_month, n, prior)."""
+    """Share of the day-first format in one source, from rows (ts_like_day, ts_like_month, n, prior)."""
     prior = float(rows["prior"].iloc[0])
     if prior_weight is None:
         return prior
     share = prior
     for _ in range(rounds):
-        day, month = share * rows["like_day"], (1 - share) * rows["like_month"]
+        day, month = share * rows["ts_like_day"], (1 - share) * rows["ts_like_month"]
         posterior = (day / (day + month).clip(lower=1e-300)).fillna(0)
         new = ((posterior * rows["n"]).sum() + prior * prior_weight) / (rows["n"].sum() + prior_weight)
         if abs(new - share) < 1e-9:
@@ -181,39 +180,39 @@ def normalise_timestamps(values: DataFrame, prior_weight: float | None = 4.0, ce
     date, impossible, or skipped by the clocks. ``prior_weight`` says how many values the locale
     counts as (NULL locale: both formats alike); None makes the locale binding. ``late`` is the
     likelihood of a reading after ``seen_us`` (NULL: any time is as likely), against 1 otherwise.
-    A value whose two readings agree is exact. Rows are kept one for one, repeated ones too; an
-    empty table gives an empty result.
+    A value whose two readings agree is exact. Rows are kept one for one, repeated ones too, with
+    their other columns (one named like a result is replaced); an empty table gives an empty result.
     """
     read = read_timestamps(values)
 
     def likelihood(us: Column) -> Column:
         return F.when(us.isNull(), 0.0).when(us > F.col("seen_us"), late).otherwise(1.0)
 
-    day, month = F.col("day_first_us"), F.col("month_first_us")
-    read = cut_lineage(read.withColumn("like_day", likelihood(day)).withColumn("like_month", likelihood(month)))  # parsed once, used twice
+    day, month = F.col("ts_day_first_us"), F.col("ts_month_first_us")
+    read = cut_lineage(read.withColumn("ts_like_day", likelihood(day)).withColumn("ts_like_month", likelihood(month)))  # parsed once, used twice
     prior = F.when(F.col("locale").isNull(), 0.5).when(F.col("locale") == "en-US", 0.0 if prior_weight is None else 0.05).otherwise(1.0 if prior_weight is None else 0.95)
     key = F.coalesce(F.col("source_key").cast("string"), F.lit(""))
-    counts = read.where("like_day > 0 or like_month > 0").groupBy(key.alias("mix_key"), "like_day", "like_month").agg(F.count("*").cast("double").alias("n"), F.min(prior).alias("prior"))
+    counts = read.where("ts_like_day > 0 or ts_like_month > 0").groupBy(key.alias("ts_mix_key"), "ts_like_day", "ts_like_month").agg(F.count("*").cast("double").alias("n"), F.min(prior).alias("prior"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"mix_key": [rows["mix_key"].iloc[0]], "day_share": [_mixture(rows, prior_weight, rounds)]})
+        return pd.DataFrame({"ts_mix_key": [rows["ts_mix_key"].iloc[0]], "day_share": [_mixture(rows, prior_weight, rounds)]})
 
-    shares = counts.groupBy("mix_key").applyInPandas(fit, "mix_key string, day_share double")
-    joined = read.withColumn("mix_key", key).join(shares, "mix_key", "left")
-    weight_day, weight_month = F.col("day_share") * F.col("like_day"), (1 - F.col("day_share")) * F.col("like_month")
+    shares = counts.groupBy("ts_mix_key").applyInPandas(fit, "ts_mix_key string, day_share double")
+    joined = read.withColumn("ts_mix_key", key).join(shares, "ts_mix_key", "left")
+    weight_day, weight_month = F.col("day_share") * F.col("ts_like_day"), (1 - F.col("day_share")) * F.col("ts_like_month")
     posterior = F.when(weight_day + weight_month > 0, weight_day / (weight_day + weight_month))
-    joined = joined.withColumn("p_day", posterior)
-    fixed = F.col("fixed_us")
+    joined = joined.withColumn("ts_p_day", posterior)
+    fixed = F.col("ts_fixed_us")
     agreed = F.when(day == month, day)
-    chosen = F.when(F.col("p_day") >= certain, day).when(1 - F.col("p_day") >= certain, month)
-    alone = F.when(F.col("p_day") == 1, day).when(F.col("p_day") == 0, month)
+    chosen = F.when(F.col("ts_p_day") >= certain, day).when(1 - F.col("ts_p_day") >= certain, month)
+    alone = F.when(F.col("ts_p_day") == 1, day).when(F.col("ts_p_day") == 0, month)
     only = F.when(day.isNull() | month.isNull(), alone)
     sure = F.coalesce(fixed, agreed, only)
     return joined.select(
-        *values.columns,
+        *(c for c in values.columns if c not in ("published_us", "posterior", "state")),
         F.coalesce(sure, chosen).alias("published_us"),
-        F.when(sure.isNotNull(), 1.0).otherwise(F.greatest("p_day", 1 - F.col("p_day"))).alias("posterior"),
-        F.when(sure.isNotNull(), "exact").when(chosen.isNotNull(), "chosen").when(F.col("p_day").isNotNull() & day.isNotNull() & month.isNotNull(), "ambiguous").otherwise("unusable").alias("state"),
+        F.when(sure.isNotNull(), 1.0).otherwise(F.greatest("ts_p_day", 1 - F.col("ts_p_day"))).alias("posterior"),
+        F.when(sure.isNotNull(), "exact").when(chosen.isNotNull(), "chosen").when(F.col("ts_p_day").isNotNull() & day.isNotNull() & month.isNotNull(), "ambiguous").otherwise("unusable").alias("state"),
     )
 
 

@@ -17,17 +17,25 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.depth = 0
+        self.open = False  # whether the last part may go on: the parser splits text at a lone "<"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.depth += tag in SKIPPED
+        self.open = False
 
     def handle_endtag(self, tag: str) -> None:
+        self.open = False
         if tag in SKIPPED and self.depth:
             self.depth -= 1
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
+        if self.depth:
+            return
+        if self.open:
+            self.parts[-1] += data
+        else:
             self.parts.append(data)
+        self.open = True
 
 
 def page_text(page: str | None) -> str | None:
