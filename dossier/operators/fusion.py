@@ -25,4 +25,4 @@ def fuse(signals: dict[str, DataFrame], key: str, k: int) -> DataFrame:
     names = F.array(*(F.lit(n) for n in ORDER))
     scored = grouped.select("query_id", key, score.alias("score"), F.element_at("ranks", 1).alias("first"), F.array_join(F.transform("ranks", lambda r: F.get(names, r["signal"])), ",").alias("signals"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "first", key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", key, "score", "signals", "rank")
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "signals", "rank")

@@ -44,4 +44,4 @@ def search(queries: DataFrame, index: DataFrame, texts: DataFrame, key: str, tex
         .join(F.broadcast(sizes), "query_id").where(F.col("hits") == F.col("terms"))
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "rank")

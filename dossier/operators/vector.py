@@ -59,7 +59,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     types = dict(queries.dtypes) | dict(vectors.dtypes)
     found = pairs.select("rows", "items").mapInPandas(product, f"query_id {types['query_id']}, item_id {types['item_id']}, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
 def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:

@@ -51,7 +51,7 @@ def retry_backoff(spark: SparkSession, folder: str) -> DataFrame:
 def latest_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most recent runs of every stage."""
     log = views.runs(spark, folder)
-    place = F.row_number().over(W.partitionBy("stage").orderBy(F.desc("at"), F.desc("run_id")))
+    place = F.row_number().over(W.partitionBy("stage").orderBy(F.desc("at"), F.desc("run_id"))).cast("long")
     return log.withColumn("place", place).where("place <= 10").select("stage", "place", "run_id", "status")
 
 

@@ -29,7 +29,7 @@ def asked_companies(spark: SparkSession, folder: str, step: int) -> DataFrame:
 
 
 def _ranked(df: DataFrame, *order, limit: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
 
 
 def filter_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +96,7 @@ def graph_signal(spark: SparkSession, folder: str, step: int = 1, chunks: DataFr
     near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy("query_id", F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
     share = near.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*"))).alias("share"))
     docs = near.join(mentions, "company_id").join(first_chunks(spark, folder, chunks), "document_id").join(share, "query_id")
-    place = F.row_number().over(W.partitionBy("query_id", "company_id").orderBy("chunk_id"))
+    place = F.row_number().over(W.partitionBy("query_id", "company_id").orderBy("chunk_id")).cast("long")
     kept = docs.withColumn("place", place).where("place <= share").groupBy("query_id", "chunk_id").agg(F.min(F.struct("depth", "company_id", "place")).alias("best"))
     return _ranked(kept, "best", "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
@@ -129,7 +129,7 @@ def timeline_desc(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 newest documents of every company."""
     docs = views.documents(spark, folder).where("published is not null").select("document_id", "published")
     rows = views.document_companies(spark, folder).join(docs, "document_id")
-    place = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("published"), "document_id"))
+    place = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("published"), "document_id")).cast("long")
     return rows.withColumn("place", place).where("place <= 50").select("company_id", "document_id", "place", F.col("published").cast("string").alias("day"))
 
 
@@ -140,7 +140,7 @@ def merged_timeline(spark: SparkSession, folder: str) -> DataFrame:
     mine = entered.join(named, F.lower(F.trim("entry")) == F.col("n")).select("investigation_id", "pos", "company_id")
     docs = mine.join(views.document_companies(spark, folder), "company_id").join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id")
     first = docs.groupBy("investigation_id", "document_id", "published").agg(F.min(F.struct("pos", "company_id")).alias("f"))
-    place = F.row_number().over(W.partitionBy("investigation_id").orderBy(F.desc("published"), "document_id"))
+    place = F.row_number().over(W.partitionBy("investigation_id").orderBy(F.desc("published"), "document_id")).cast("long")
     return first.select("investigation_id", "document_id", F.col("f.company_id").alias("company_id"), place.alias("place"))
 
 

@@ -56,7 +56,7 @@ def metadata_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def excerpts(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence with its excerpt cut to the citation length."""
-    return views.evidence(spark, folder).select("evidence_id", T.truncated(F.col("excerpt"), 240).alias("excerpt"), F.length("excerpt").alias("length")).distinct()
+    return views.evidence(spark, folder).select("evidence_id", T.truncated(F.col("excerpt"), 240).alias("excerpt"), F.length("excerpt").cast("long").alias("length")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (chunk_pack, feature_hash_embed, alias_derivation, timeframe_bounds, content_checksum, exact_dup_groups, metadata_quality, excerpts)}
