@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier import views
 from dossier.functions import text as T
 from dossier.operators import scoring
+from dossier.session import read_table
 from dossier.views import with_views
 
 AS_OF_DAY = views.AS_OF[:10]
@@ -171,8 +174,35 @@ def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return inside.union(entries.join(alias, "entry").select("entry", "company_id")).union(by_ticker).groupBy("entry").agg(F.min("company_id").alias("company_id"))
 
 
+def foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """References without target, per relation: rows and distinct keys."""
+
+    def orphans(child: str, key: str, parent: str, target: str) -> DataFrame:
+        keys = read_table(spark, folder, child).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+        missing = keys.join(read_table(spark, folder, parent).select(F.col(target).alias("k")).distinct(), "k", "left_anti")
+        return missing.agg(F.lit(f"{child}.{key}").alias("relation"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"), F.count("*").alias("keys"))
+
+    return reduce(DataFrame.union, (orphans(*r) for r in RELATIONS))
+
+
+def stance_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence, chunks and documents per investigation and stance."""
+    ev = views.evidence(spark, folder)
+    return ev.groupBy("investigation_id", "stance").agg(F.count("*").alias("evidence"), F.countDistinct("chunk_id").alias("chunks"), F.countDistinct("document_id").alias("documents"))
+
+
+RELATIONS = (
+    ("chunks", "document_id", "documents", "document_id"),
+    ("evidence", "chunk_id", "chunks", "chunk_id"),
+    ("evidence", "document_id", "documents", "document_id"),
+    ("evidence", "investigation_id", "research_plans", "investigation_id"),
+    ("reports", "investigation_id", "research_plans", "investigation_id"),
+    ("documents", "feed_id", "feeds", "feed_id"),
+    ("document_refs", "feed_id", "feeds", "feed_id"),
+)
+
 QUERIES = {f.__name__: f for f in (
-    corroboration, source_score, contradictions, evidence_gaps, evidence_first_writer, confidence, citation_extract, citation_gate, citation_resolve, citation_display,
+    foreign_keys, stance_histogram, corroboration, source_score, contradictions, evidence_gaps, evidence_first_writer, confidence, citation_extract, citation_gate, citation_resolve, citation_display,
     replay_match, staleness_semi, latest_report, report_eval, retrieval_eval, name_resolution,
 )}
 
@@ -189,6 +219,10 @@ seen as (select report_id, investigation_id, ids[i] chunk_id, min(i) i from ids,
 cite as (select report_id, investigation_id, chunk_id, cast(row_number() over (partition by report_id order by i) as integer) number from seen)"""
 
 SQL = {
+    "foreign_keys": " union all ".join(
+        f"select '{c}.{k}' relation, count(*) orphans, count(distinct {k}) keys from {c} where {k} is not null and {k} not in (select {t} from {p} where {t} is not null)" for c, k, p, t in RELATIONS
+    ),
+    "stance_histogram": with_views("ev", "select investigation_id, stance, count(*) evidence, count(distinct chunk_id) chunks, count(distinct document_id) documents from ev group by 1, 2"),
     "corroboration": with_views("ev doc", f", {_CORR} select investigation_id, stance, document_id, corroborating, publishers from corr"),
     "source_score": with_views("ev doc", f""", {_CORR} select investigation_id, stance, document_id, round(0.30 * {_TIER}::double
   + 0.25 * coalesce(pow(0.5, greatest(0, date '{AS_OF_DAY}' - published) / 180), 0.5)
