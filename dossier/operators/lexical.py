@@ -41,7 +41,7 @@ def search(queries: DataFrame, index: DataFrame, texts: DataFrame, key: str, tex
     scored = (
         wanted.join(used.join(df, "term"), "term").join(F.broadcast(corpus))
         .groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
-        .join(F.broadcast(sizes), "query_id").where(F.col("hits") == F.col("terms"))
+        .join(sizes, "query_id").where(F.col("hits") == F.col("terms"))
     )
     best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "rank")

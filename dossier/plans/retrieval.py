@@ -53,12 +53,8 @@ def near_dup_leader(spark: SparkSession, folder: str) -> DataFrame:
     return vector.leader_clusters(rows, 0.5).withColumnRenamed("group", "query_id")
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return views.chunks(spark, folder).select("chunk_id", "document_id", "position", "pipeline_version", "text")
-
-
-def lexical_signal(spark: SparkSession, folder: str, limit: int = POOL, chunks: DataFrame | None = None) -> DataFrame:
-    texts = (chunks or _chunks(spark, folder)).select("chunk_id", "text")
+def lexical_signal(spark: SparkSession, folder: str, limit: int = POOL) -> DataFrame:
+    texts = views.chunks(spark, folder).select("chunk_id", "text")
     return lexical.search(questions(spark, folder), lexical.postings(texts, "chunk_id", "text"), texts, "chunk_id", "text", limit)
 
 
@@ -66,36 +62,36 @@ def lexical_match_topk(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_signal(spark, folder, K)
 
 
-def semantic_signal(spark: SparkSession, folder: str, chunks: DataFrame | None = None) -> DataFrame:
+def semantic_signal(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks by cosine of hashed vectors: a sparse product over the question's dimensions."""
-    items = T.feature_hash(chunks or _chunks(spark, folder), "chunk_id", "text")
+    items = T.feature_hash(views.chunks(spark, folder), "chunk_id", "text")
     asked = T.feature_hash(questions(spark, folder), "query_id", "query").select("query_id", "dim", F.col("weight").alias("q"))
-    scored = items.join(F.broadcast(asked), "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
+    scored = items.join(asked, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
     return _ranked(scored, F.desc("score"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
 
-def first_chunks(spark: SparkSession, folder: str, chunks: DataFrame | None = None) -> DataFrame:
+def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The first chunk of each document's highest pipeline version."""
-    first = (chunks or _chunks(spark, folder)).where("position = 0").select("chunk_id", "document_id", "pipeline_version")
+    first = views.chunks(spark, folder).where("position = 0").select("chunk_id", "document_id", "pipeline_version")
     return views.latest(first, ["document_id"], F.desc("pipeline_version"), "chunk_id").select("chunk_id", "document_id")
 
 
-def timeline_signal(spark: SparkSession, folder: str, step: int = 1, chunks: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+def timeline_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
     """First chunks of the asked companies' documents, newest first."""
     mentions = mentions or views.document_companies(spark, folder)
     docs = asked_companies(spark, folder, step).join(mentions, "company_id").select("query_id", "document_id").distinct()
-    dated = docs.join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id").join(first_chunks(spark, folder, chunks), "document_id")
+    dated = docs.join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id").join(first_chunks(spark, folder), "document_id")
     return _ranked(dated, F.desc("published"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
 
-def graph_signal(spark: SparkSession, folder: str, step: int = 1, chunks: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
     """First chunks of neighbours' documents: nearer companies first, an equal part of the pool each."""
     mentions = mentions or cut_lineage(views.document_companies(spark, folder))
     asked = asked_companies(spark, folder, step)
     depths = graph.min_depths(asked.select(F.col("company_id").alias("seed")), graph.co_mentions(mentions), 2)
     near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy("query_id", F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
     share = near.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*"))).alias("share"))
-    docs = near.join(mentions, "company_id").join(first_chunks(spark, folder, chunks), "document_id").join(share, "query_id")
+    docs = near.join(mentions, "company_id").join(first_chunks(spark, folder), "document_id").join(share, "query_id")
     place = F.row_number().over(W.partitionBy("query_id", "company_id").orderBy("chunk_id")).cast("long")
     kept = docs.withColumn("place", place).where("place <= share").groupBy("query_id", "chunk_id").agg(F.min(F.struct("depth", "company_id", "place")).alias("best"))
     return _ranked(kept, "best", "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
@@ -103,16 +99,16 @@ def graph_signal(spark: SparkSession, folder: str, step: int = 1, chunks: DataFr
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Four signals fused; the chunks' documents are looked up only for the final ranks."""
-    chunks, mentions = cut_lineage(_chunks(spark, folder)), cut_lineage(views.document_companies(spark, folder))
+    mentions = cut_lineage(views.document_companies(spark, folder))
     signals = {
-        "semantic": semantic_signal(spark, folder, chunks),
-        "lexical": lexical_signal(spark, folder, POOL, chunks),
-        "graph": graph_signal(spark, folder, 100, chunks, mentions),
-        "timeline": timeline_signal(spark, folder, 100, chunks, mentions),
+        "semantic": semantic_signal(spark, folder),
+        "lexical": lexical_signal(spark, folder),
+        "graph": graph_signal(spark, folder, 100, mentions),
+        "timeline": timeline_signal(spark, folder, 100, mentions),
     }
     fused = fusion.fuse({name: df.select("query_id", "chunk_id", "rank") for name, df in signals.items()}, "chunk_id", K)
     docs = views.documents(spark, folder).select("document_id", "title", "source")
-    return chunks.select("chunk_id", "document_id").join(F.broadcast(fused), "chunk_id").join(docs, "document_id").select("query_id", "rank", "chunk_id", "document_id", "title", "source", F.round("score", 6).alias("score"), "signals")
+    return views.chunks(spark, folder).select("chunk_id", "document_id").join(fused, "chunk_id").join(docs, "document_id").select("query_id", "rank", "chunk_id", "document_id", "title", "source", F.round("score", 6).alias("score"), "signals")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
