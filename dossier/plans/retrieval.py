@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dossier import views
 from dossier.functions import text as T
 from dossier.operators import fusion, graph, lexical, vector
-from dossier.session import cut_lineage, read_table
+from dossier.session import read_table
 from dossier.views import with_views
 
 K = 10
@@ -86,7 +86,7 @@ def timeline_signal(spark: SparkSession, folder: str, step: int = 1, mentions: D
 
 def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
     """First chunks of neighbours' documents: nearer companies first, an equal part of the pool each."""
-    mentions = mentions or cut_lineage(views.document_companies(spark, folder))
+    mentions = mentions or views.document_companies(spark, folder)
     asked = asked_companies(spark, folder, step)
     depths = graph.min_depths(asked.select(F.col("company_id").alias("seed")), graph.co_mentions(mentions), 2)
     near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy("query_id", F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
@@ -99,7 +99,7 @@ def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: Data
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Four signals fused; the chunks' documents are looked up only for the final ranks."""
-    mentions = cut_lineage(views.document_companies(spark, folder))
+    mentions = views.document_companies(spark, folder)
     signals = {
         "semantic": semantic_signal(spark, folder),
         "lexical": lexical_signal(spark, folder),

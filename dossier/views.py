@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.session import read_table
+from dossier.session import cut_lineage, read_table
 
 AS_OF = "2026-07-01 00:00:00"
 
@@ -49,12 +49,15 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_companies(spark: SparkSession, folder: str) -> DataFrame:
-    """(document_id, company_id): listed companies whose ticker a document's text tags."""
-    text = documents(spark, folder).select("document_id", "text")
-    tags = F.array_union(F.regexp_extract_all("text", F.lit(CASHTAG), F.lit(1)), F.regexp_extract_all("text", F.lit(EXCHANGE_TAG), F.lit(1)))
-    tagged = text.select("document_id", F.explode(F.array_distinct(tags)).alias("ticker"))
-    tickers = companies(spark, folder).select("company_id", F.explode("tickers").alias("ticker"))
-    return tagged.join(tickers, "ticker").select("document_id", "company_id").distinct()
+    """(document_id, company_id): listed companies that a document's text mentions by name, alias or tagged ticker.
+
+    The texts are searched once: the pairs are written to the checkpoint folder, whatever reads them.
+    """
+    from dossier.operators.entities import find_entities  # which takes the tags' patterns from here
+
+    listed = companies(spark, folder).select("company_id", "name", "tickers", "aliases")
+    found = find_entities(documents(spark, folder).select("document_id", "text"), "document_id", "text", listed)
+    return cut_lineage(found.select("document_id", "company_id").distinct())
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
