@@ -19,7 +19,8 @@ AS_OF_DAY = views.AS_OF[:10]
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence with its document; evidence of unknown documents is left out."""
-    docs = views.documents(spark, folder).select("document_id", "source", "publisher", "doc_type", "published")
+    days = views.published(spark, folder).select("document_id", F.to_date("published").alias("published"))
+    docs = views.documents(spark, folder).select("document_id", "source", "publisher", "doc_type").join(days, "document_id", "left")
     return views.evidence(spark, folder).where("investigation_id is not null").join(docs, "document_id")
 
 

@@ -43,7 +43,7 @@ def registry_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def filing_top5(spark: SparkSession, folder: str) -> DataFrame:
     """The five newest filings of every publisher."""
-    filings = views.documents(spark, folder).where("doc_type = 'filing' and publisher is not null and published is not null")
+    filings = views.documents(spark, folder).where("doc_type = 'filing' and publisher is not null").select("document_id", "publisher").join(views.published(spark, folder), "document_id")
     place = F.row_number().over(W.partitionBy("publisher").orderBy(F.desc("published"), "document_id")).cast("long")
     return filings.withColumn("place", place).where("place <= 5").select("publisher", "place", "document_id")
 

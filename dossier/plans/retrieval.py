@@ -34,8 +34,9 @@ def _ranked(df: DataFrame, *order, limit: int) -> DataFrame:
 
 def filter_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of news and filings of some sources, published in a range of days, that mention a listed company."""
-    docs = views.documents(spark, folder).where("doc_type in ('news', 'filing') and source in ('rss', 'sec_edgar', 'wire_archive') and published >= date '2023-06-01' and published <= date '2025-12-31'")
-    docs = docs.select("document_id", "source", "doc_type").join(views.document_companies(spark, folder), "document_id", "left_semi")
+    docs = views.documents(spark, folder).where("doc_type in ('news', 'filing') and source in ('rss', 'sec_edgar', 'wire_archive')")
+    dated = views.published(spark, folder).where("to_date(published) between date '2023-06-01' and date '2025-12-31'")
+    docs = docs.join(dated, "document_id", "left_semi").select("document_id", "source", "doc_type").join(views.document_companies(spark, folder), "document_id", "left_semi")
     return views.chunks(spark, folder).select("chunk_id", "document_id", "position").join(docs, "document_id").select("chunk_id", "document_id", "source", "doc_type")
 
 
@@ -80,7 +81,7 @@ def timeline_signal(spark: SparkSession, folder: str, step: int = 1, mentions: D
     """First chunks of the asked companies' documents, newest first."""
     mentions = mentions or views.document_companies(spark, folder)
     docs = asked_companies(spark, folder, step).join(mentions, "company_id").select("query_id", "document_id").distinct()
-    dated = docs.join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id").join(first_chunks(spark, folder), "document_id")
+    dated = docs.join(views.published(spark, folder), "document_id").join(first_chunks(spark, folder), "document_id")
     return _ranked(dated, F.desc("published"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
 
@@ -123,10 +124,9 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 def timeline_desc(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 newest documents of every company."""
-    docs = views.documents(spark, folder).where("published is not null").select("document_id", "published")
-    rows = views.document_companies(spark, folder).join(docs, "document_id")
+    rows = views.document_companies(spark, folder).join(views.published(spark, folder), "document_id")
     place = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("published"), "document_id")).cast("long")
-    return rows.withColumn("place", place).where("place <= 50").select("company_id", "document_id", "place", F.col("published").cast("string").alias("day"))
+    return rows.withColumn("place", place).where("place <= 50").select("company_id", "document_id", "place", F.to_date("published").cast("string").alias("day"))
 
 
 def merged_timeline(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +134,7 @@ def merged_timeline(spark: SparkSession, folder: str) -> DataFrame:
     entered = views.plans(spark, folder).select("investigation_id", F.posexplode("companies").alias("pos", "entry")).where("entry is not null")
     named = views.companies(spark, folder).select("company_id", F.lower("name").alias("n"))
     mine = entered.join(named, F.lower(F.trim("entry")) == F.col("n")).select("investigation_id", "pos", "company_id")
-    docs = mine.join(views.document_companies(spark, folder), "company_id").join(views.documents(spark, folder).where("published is not null").select("document_id", "published"), "document_id")
+    docs = mine.join(views.document_companies(spark, folder), "company_id").join(views.published(spark, folder), "document_id")
     first = docs.groupBy("investigation_id", "document_id", "published").agg(F.min(F.struct("pos", "company_id")).alias("f"))
     place = F.row_number().over(W.partitionBy("investigation_id").orderBy(F.desc("published"), "document_id")).cast("long")
     return first.select("investigation_id", "document_id", F.col("f.company_id").alias("company_id"), place.alias("place"))

@@ -1,12 +1,14 @@
 """Whole results against brute force on small tables written for the purpose; SQL states only a part of these."""
 
 import re
+from datetime import UTC, datetime, timedelta
 from itertools import combinations
 
 import pytest
 
 from dossier import views
 from dossier.plans import graph as graph_plans
+from dossier.plans import ingest, retrieval
 
 COMPANIES = [
     ("c1", "Alphazon Systems Inc.", ["ALZ"], ["Alphazon"]),
@@ -29,8 +31,6 @@ def documents_table(spark, folder, rows, schema="doc_id long, document_id string
 
 @pytest.fixture
 def mentions_folder(spark, tmp_path):
-    from datetime import datetime
-
     seen = datetime(2026, 1, 1)
     documents_table(spark, tmp_path, [(i, d, 1, "rss", "p", "news", d, None, seen, t) for i, (d, t) in enumerate(TEXTS.items())])
     spark.createDataFrame([(*c, "1") for c in COMPANIES], "company_id string, name string, tickers array<string>, aliases array<string>, cik string").write.parquet(f"{tmp_path}/companies.parquet")
@@ -53,3 +53,35 @@ def test_documents_mention_companies_by_name_alias_and_tag(spark, mentions_folde
     assert got == {(d, c) for d, t in TEXTS.items() for c in mentioned(t)}
     edges = {tuple(r) for r in graph_plans.co_mention_edges(spark, mentions_folder).collect()}
     assert edges == {(a, b, d) for d, t in TEXTS.items() for a, b in combinations(sorted(mentioned(t)), 2)} and len(edges) == 3
+
+
+PUBLISHED = [  # raw value, feed, UTC instant; feed 1 is New York, month first, feed 2 Berlin, day first
+    ("2024-03-15", 2, "2024-03-14 23:00"),  # local midnight in Berlin
+    ("1718444400", 1, "2024-06-15 09:40"),
+    ("1718444460000", 1, "2024-06-15 09:41"),
+    ("Sat, 15 Jun 2024 23:30:00 -0400", 1, "2024-06-16 03:30"),
+    ("20240121", 2, "2024-01-20 23:00"),
+    ("2025/03/06 12:00", 2, "2025-03-06 11:00"),
+    ("04-05-2024", 1, "2024-04-05 04:00"),
+    ("04.05.2024", 2, "2024-05-03 22:00"),
+    ("12 March 2022", 1, "2022-03-12 05:00"),
+    ("soon", 1, None),
+    (None, 1, None),
+]
+
+
+def test_published_is_read_in_every_format(spark, tmp_path):
+    seen = datetime(2026, 1, 1)
+    documents_table(spark, tmp_path, [(i, f"d{i:02d}", feed, "rss", "p", "filing", "t", raw, seen, "Betacorp") for i, (raw, feed, _) in enumerate(PUBLISHED)])
+    spark.createDataFrame([(1, "America/New_York", "en-US"), (2, "Europe/Berlin", "de-DE")], "feed_id int, time_zone string, locale string").write.parquet(f"{tmp_path}/feeds.parquet")
+    spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    spark.createDataFrame([(f"k{i:02d}", f"d{i:02d}", 0, seen, None) for i in range(len(PUBLISHED))], "chunk_id string, document_id string, position int, loaded_at timestamp, deleted_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    folder = str(tmp_path)
+    instants = {f"d{i:02d}": datetime.fromisoformat(at).replace(tzinfo=UTC) for i, (_, _, at) in enumerate(PUBLISHED) if at}
+    got = {r["document_id"]: datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=r["us"]) for r in views.published(spark, folder).selectExpr("document_id", "unix_micros(published) us").collect()}
+    assert got == instants
+    newest = sorted(instants, key=lambda d: instants[d], reverse=True)
+    assert [r["document_id"] for r in ingest.filing_top5(spark, folder).orderBy("place").collect()] == newest[:5]
+    assert [(r["document_id"], r["day"]) for r in retrieval.timeline_desc(spark, folder).orderBy("place").collect()] == [(d, str(instants[d].date())) for d in newest]
+    in_range = {d for d, at in instants.items() if datetime(2023, 6, 1, tzinfo=UTC) <= at < datetime(2026, 1, 1, tzinfo=UTC)}
+    assert {r["document_id"] for r in retrieval.filter_metadata(spark, folder).collect()} == in_range
