@@ -1,4 +1,4 @@
-"""Search queries: every plan whose id is divisible by 100 asks with the first two words of its first query, against all chunks."""
+"""Search queries: every plan whose id is divisible by 100 asks all its queries, each with its whole text, against all chunks."""
 
 from __future__ import annotations
 
@@ -16,9 +16,11 @@ K = 10
 POOL = K * fusion.POOL
 
 
-def questions(spark: SparkSession, folder: str) -> DataFrame:
-    plans = views.plans(spark, folder).where("plan_id % 100 = 0")
-    return plans.select(F.col("plan_id").alias("query_id"), F.substring_index(F.get("queries", F.lit(0)), " ", 2).alias("query")).where("query is not null")
+def questions(spark: SparkSession, folder: str, step: int = 100) -> DataFrame:
+    """(query_id, plan_id, query): the queries of every plan whose id is divisible by ``step``; an id is the plan's and the query's 0-based place."""
+    plans = views.plans(spark, folder).where(F.col("plan_id") % step == 0)
+    rows = plans.select("plan_id", F.posexplode("queries").alias("place", "query")).where("query is not null")
+    return rows.select(F.concat_ws("-", "plan_id", "place").alias("query_id"), "plan_id", "query")
 
 
 def asked_companies(spark: SparkSession, folder: str, step: int) -> DataFrame:
@@ -101,11 +103,16 @@ def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: Data
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Four signals fused; the chunks' documents are looked up only for the final ranks."""
     mentions = views.document_companies(spark, folder)
+    asked = questions(spark, folder).select("query_id", "plan_id")
+
+    def by_plan(signal: DataFrame) -> DataFrame:
+        return signal.withColumnRenamed("query_id", "plan_id").join(asked, "plan_id")
+
     signals = {
         "semantic": semantic_signal(spark, folder),
         "lexical": lexical_signal(spark, folder),
-        "graph": graph_signal(spark, folder, 100, mentions),
-        "timeline": timeline_signal(spark, folder, 100, mentions),
+        "graph": by_plan(graph_signal(spark, folder, 100, mentions)),
+        "timeline": by_plan(timeline_signal(spark, folder, 100, mentions)),
     }
     fused = fusion.fuse({name: df.select("query_id", "chunk_id", "rank") for name, df in signals.items()}, "chunk_id", K)
     docs = views.documents(spark, folder).select("document_id", "title", "source")

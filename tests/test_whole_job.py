@@ -85,3 +85,19 @@ def test_published_is_read_in_every_format(spark, tmp_path):
     assert [(r["document_id"], r["day"]) for r in retrieval.timeline_desc(spark, folder).orderBy("place").collect()] == [(d, str(instants[d].date())) for d in newest]
     in_range = {d for d, at in instants.items() if datetime(2023, 6, 1, tzinfo=UTC) <= at < datetime(2026, 1, 1, tzinfo=UTC)}
     assert {r["document_id"] for r in retrieval.filter_metadata(spark, folder).collect()} == in_range
+
+
+PLANS = "plan_id long, investigation_id string, version int, companies array<string>, queries array<string>, created_at timestamp, loaded_at timestamp"
+CHUNKS = "chunk_id string, document_id string, position int, pipeline_version int, text string, loaded_at timestamp, deleted_at timestamp"
+
+
+def test_every_query_of_a_plan_is_asked_whole(spark, tmp_path):
+    seen = datetime(2026, 1, 1)
+    plans = [(100, "i", 1, [], ["margin demand Betacorp", None, "rail freight"], seen, seen), (101, "i", 1, [], ["rail freight"], seen, seen), (200, "j", 1, [], None, seen, seen)]
+    spark.createDataFrame(plans, PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
+    texts = {"k1": "margin demand of others", "k2": "demand and margin at Betacorp", "k3": "freight by rail"}
+    spark.createDataFrame([(k, "d", 0, 1, t, seen, None) for k, t in texts.items()], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["query_id"], r["chunk_id"]) for r in retrieval.lexical_match_topk(spark, str(tmp_path)).collect()}
+    assert got == {("100-0", "k2"), ("100-2", "k3")}
+    best = {r["query_id"]: r["chunk_id"] for r in retrieval.semantic_signal(spark, str(tmp_path)).where("rank = 1").collect()}
+    assert best == {"100-0": "k2", "100-2": "k3"}
