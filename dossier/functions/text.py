@@ -85,6 +85,12 @@ def feature_hash(texts: DataFrame, key: str, text: str) -> DataFrame:
     return summed.join(norms, key).select(key, "dim", (F.col("v") / F.col("norm")).alias("weight"))
 
 
+def sparse_vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dims, weights): the vectors of ``feature_hash``, one row each."""
+    rows = feature_hash(texts, key, text).groupBy(key).agg(F.collect_list(F.struct("dim", "weight")).alias("v"))
+    return rows.select(key, F.col("v.dim").alias("dims"), F.col("v.weight").alias("weights"))
+
+
 def truncated(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)
 

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, ITEM_BLOCK = 512, 2048
+PLAN_BLOCK = 128  # plans of a few queries each
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,6 +64,62 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
+def _dense(rows: pa.StructArray, size: int) -> np.ndarray:
+    """The matrix of rows (..., dims, weights)."""
+    dims, weights = rows.field("dims"), rows.field("weights")
+    lengths = dims.value_lengths().to_numpy(zero_copy_only=False)
+    matrix = np.zeros((len(rows), size))
+    matrix[np.repeat(np.arange(len(rows)), lengths), dims.flatten().to_numpy()] = weights.flatten().to_numpy()
+    return matrix
+
+
+def group_tops(asks: DataFrame, members: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """(query_id, group, depth, share, chunk_id, score): in each group, the ``share`` best chunks of each query that asks it, or more.
+
+    Needs asks(plan_id, group, depth, share, asks: [(query_id, dims, weights)]), members(group, chunk_id) and
+    vectors(chunk_id, dims, weights) of length 1. A group's chunks and its plans are gathered in blocks of bounded size;
+    each pair of blocks is one matrix product, so a group of several blocks gives up to ``share`` rows for each of
+    them. Every chunk with a vector takes part, also at similarity 0 or below. Scores are rounded to 6 digits.
+    """
+
+    def blocked(rows: DataFrame, key: str, most: int) -> DataFrame:
+        counts = rows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("blocks"))
+        return rows.join(counts, "group").withColumn("block", F.pmod(F.xxhash64(key), "blocks")).drop("blocks")
+
+    held = blocked(members, "chunk_id", ITEM_BLOCK).join(vectors, "chunk_id")
+    held = held.groupBy("group", "block").agg(F.collect_list(F.struct("chunk_id", "dims", "weights")).alias("items")).drop("block")
+    counts = F.ceil(F.count("*").over(W.partitionBy("group")) / PLAN_BLOCK)
+    asked = asks.withColumn("block", F.pmod(F.xxhash64("plan_id"), counts))
+    asked = asked.groupBy("group", "block").agg(F.collect_list(F.struct("depth", "share", "asks")).alias("plans")).drop("block")
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                items, plans = batch.column("items").slice(i, 1).flatten(), batch.column("plans").slice(i, 1).flatten()
+                lists = plans.field("asks")
+                each = np.repeat(np.arange(len(plans)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                depth, share = (plans.field(n).to_numpy(zero_copy_only=False)[each] for n in ("depth", "share"))
+                queries = lists.flatten()
+                names = np.array(items.field("chunk_id").to_pylist(), object)
+                order = np.argsort(names)
+                names, matrix = names[order], _dense(items, size)[order].T
+                sought = _dense(queries, size)
+                ids = np.array(queries.field("query_id").to_pylist(), object)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    part = slice(at, at + QUERY_BLOCK)
+                    scores = np.round(sought[part] @ matrix, 6) + 0.0
+                    most = min(int(share[part].max()), len(names))
+                    best = scores.argmax(axis=1)[:, None] if most == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :most]  # ties: the smaller id
+                    row, place = np.nonzero(np.arange(best.shape[1])[None, :] < share[part][:, None])
+                    chosen = best[row, place]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[part][row], pa.string()), pa.array([batch.column("group")[i].as_py()] * len(row), pa.string()), pa.array(depth[part][row], pa.int32()), pa.array(share[part][row], pa.int32()), pa.array(names[chosen], pa.string()), pa.array(scores[row, chosen], pa.float64())],
+                        names=["query_id", "group", "depth", "share", "chunk_id", "score"],
+                    )
+
+    return asked.join(held, "group").mapInArrow(product, "query_id string, group string, depth int, share int, chunk_id string, score double")
+
+
 def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:
     """Greedy near-duplicate removal within small groups: (group, kept).
 

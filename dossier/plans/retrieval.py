@@ -88,15 +88,21 @@ def timeline_signal(spark: SparkSession, folder: str, step: int = 1, mentions: D
 
 
 def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
-    """First chunks of neighbours' documents: nearer companies first, an equal part of the pool each."""
+    """Chunks of neighbours' documents: nearer companies first, an equal part of the pool each, filled by cosine to the question."""
     mentions = mentions or views.document_companies(spark, folder)
     asked = asked_companies(spark, folder, step)
     depths = graph.min_depths(asked.select(F.col("company_id").alias("seed")), graph.co_mentions(mentions), 2)
-    near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy("query_id", F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
-    share = near.groupBy("query_id").agg(F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*"))).alias("share"))
-    docs = near.join(mentions, "company_id").join(first_chunks(spark, folder), "document_id").join(share, "query_id")
-    place = F.row_number().over(W.partitionBy("query_id", "company_id").orderBy("chunk_id")).cast("long")
-    kept = docs.withColumn("place", place).where("place <= share").groupBy("query_id", "chunk_id").agg(F.min(F.struct("depth", "company_id", "place")).alias("best"))
+    near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy(F.col("query_id").alias("plan_id"), F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
+    share = F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*").over(W.partitionBy("plan_id")))).cast("int")
+    texts = questions(spark, folder, step)
+    asks = T.sparse_vectors(texts, "query_id", "query").join(texts.select("query_id", "plan_id"), "query_id")
+    asks = asks.groupBy("plan_id").agg(F.collect_list(F.struct("query_id", "dims", "weights")).alias("asks"))  # one plan's queries
+    near = near.withColumn("share", share).join(asks, "plan_id").select("plan_id", F.col("company_id").alias("group"), "depth", "share", "asks")
+    chunks = views.chunks(spark, folder)
+    members = mentions.join(chunks.select("chunk_id", "document_id"), "document_id").select(F.col("company_id").alias("group"), "chunk_id")
+    found = vector.group_tops(near, members, T.sparse_vectors(chunks, "chunk_id", "text"), T.DIMENSIONS)
+    place = F.row_number().over(W.partitionBy("query_id", "group").orderBy(F.desc("score"), "chunk_id")).cast("long")
+    kept = found.withColumn("place", place).where("place <= share").groupBy("query_id", "chunk_id").agg(F.min(F.struct("depth", "group", "place")).alias("best"))
     return _ranked(kept, "best", "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
 
 
@@ -104,15 +110,11 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Four signals fused; the chunks' documents are looked up only for the final ranks."""
     mentions = views.document_companies(spark, folder)
     asked = questions(spark, folder).select("query_id", "plan_id")
-
-    def by_plan(signal: DataFrame) -> DataFrame:
-        return signal.withColumnRenamed("query_id", "plan_id").join(asked, "plan_id")
-
     signals = {
         "semantic": semantic_signal(spark, folder),
         "lexical": lexical_signal(spark, folder),
-        "graph": by_plan(graph_signal(spark, folder, 100, mentions)),
-        "timeline": by_plan(timeline_signal(spark, folder, 100, mentions)),
+        "graph": graph_signal(spark, folder, 100, mentions),
+        "timeline": timeline_signal(spark, folder, 100, mentions).withColumnRenamed("query_id", "plan_id").join(asked, "plan_id"),
     }
     fused = fusion.fuse({name: df.select("query_id", "chunk_id", "rank") for name, df in signals.items()}, "chunk_id", K)
     docs = views.documents(spark, folder).select("document_id", "title", "source")

@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from dossier import views
+from dossier.functions import text as text_functions
 from dossier.plans import graph as graph_plans
 from dossier.plans import ingest, retrieval
 
@@ -101,3 +102,29 @@ def test_every_query_of_a_plan_is_asked_whole(spark, tmp_path):
     assert got == {("100-0", "k2"), ("100-2", "k3")}
     best = {r["query_id"]: r["chunk_id"] for r in retrieval.semantic_signal(spark, str(tmp_path)).where("rank = 1").collect()}
     assert best == {"100-0": "k2", "100-2": "k3"}
+
+
+def test_graph_signal_ranks_all_chunks_of_neighbours_by_the_question(spark, tmp_path):
+    seen = datetime(2026, 1, 1)
+    documents_table(spark, tmp_path, [(1, "d1", 1, "rss", "p", "news", "t", None, seen, "Alphazon and Betacorp"), (2, "d2", 1, "rss", "p", "news", "t", None, seen, "Betacorp and Gammaline"), (3, "d3", 1, "rss", "p", "news", "t", None, seen, "Betacorp alone")])
+    spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    plans = [(7, "i", 1, ["Alphazon"], ["rail freight", "copper mine"], seen, seen)]
+    spark.createDataFrame(plans, PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
+    # c2 is one step away (d1, d2, d3), c3 two (d2): 15 places each
+    texts = {f"a{i:02d}": ("d3", f"filler number {i}") for i in range(20)} | {"y1": ("d3", "rail freight"), "y2": ("d3", "a copper mine"), "z1": ("d2", "rail and freight on rail"), "z2": ("d1", "copper")}
+    spark.createDataFrame([(k, d, i, 1, t, seen, None) for i, (k, (d, t)) in enumerate(texts.items())], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/chunks.parquet")
+    hashed = {}
+    for r in text_functions.feature_hash(rows, "chunk_id", "text").collect():
+        hashed.setdefault(r["chunk_id"], {})[r["dim"]] = r["weight"]
+    want = set()
+    for place, query in enumerate(plans[0][4]):
+        q = {r["dim"]: r["weight"] for r in text_functions.feature_hash(spark.createDataFrame([(1, query)], "k int, t string"), "k", "t").collect()}
+        order = sorted(texts, key=lambda k: (-round(sum(w * hashed[k].get(d, 0) for d, w in q.items()), 6), k))
+        ids = []
+        for docs in ({"d1", "d2", "d3"}, {"d2"}):
+            ids += [k for k in [k for k in order if texts[k][0] in docs][:15] if k not in ids]
+        want |= {(f"7-{place}", k, rank) for rank, k in enumerate(ids, 1)}
+    got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in retrieval.graph_signal(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {(q, k) for q, k, rank in got if rank == 1} == {("7-0", "y1"), ("7-1", "y2")}
