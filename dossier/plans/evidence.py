@@ -160,15 +160,15 @@ def retrieval_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """The first company whose name contains an entry, or that has it as alias or ticker.
+    """The first company whose name contains an entry of four letters or more, or that has any entry as alias or ticker.
 
     A name contains an entry only if it contains the entry's first four letters, so the pairs to
     compare come from an equality join on these.
     """
-    entries = views.plans(spark, folder).select(F.explode("companies").alias("entry")).where("length(trim(entry)) >= 4").distinct()
+    entries = views.plans(spark, folder).select(F.explode("companies").alias("entry")).where("trim(entry) <> ''").distinct()
     listed = views.companies(spark, folder).select("company_id", F.lower("name").alias("name"), "aliases", "tickers")
     grams = listed.select("company_id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 3, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(4))))).alias("gram"))
-    inside = entries.withColumn("gram", F.substring(F.lower("entry"), 1, 4)).join(grams, "gram").where(F.contains("name", F.lower("entry"))).select("entry", "company_id")
+    inside = entries.where("length(trim(entry)) >= 4").withColumn("gram", F.substring(F.lower("entry"), 1, 4)).join(grams, "gram").where(F.contains("name", F.lower("entry"))).select("entry", "company_id")
     alias = listed.select("company_id", F.explode("aliases").alias("entry")).select("entry", "company_id")
     ticker = listed.select("company_id", F.explode("tickers").alias("t"))
     by_ticker = entries.join(ticker, F.upper("entry") == F.col("t")).select("entry", "company_id")

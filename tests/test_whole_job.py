@@ -9,7 +9,7 @@ import pytest
 from dossier import views
 from dossier.functions import text as text_functions
 from dossier.plans import graph as graph_plans
-from dossier.plans import ingest, retrieval
+from dossier.plans import evidence, ingest, retrieval
 
 COMPANIES = [
     ("c1", "Alphazon Systems Inc.", ["ALZ"], ["Alphazon"]),
@@ -128,3 +128,12 @@ def test_graph_signal_ranks_all_chunks_of_neighbours_by_the_question(spark, tmp_
     got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in retrieval.graph_signal(spark, str(tmp_path)).collect()}
     assert got == want
     assert {(q, k) for q, k, rank in got if rank == 1} == {("7-0", "y1"), ("7-1", "y2")}
+
+
+def test_short_entries_are_resolved_by_ticker_and_alias(spark, tmp_path):
+    seen = datetime(2026, 1, 1)
+    listed = [("c1", "Alphazon Systems Inc.", ["ALZ"], ["Az"]), ("c2", "Betacorp", ["B"], [])]
+    spark.createDataFrame(listed, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    spark.createDataFrame([(1, "i", 1, ["alz", "B", "Az", "Bet", "betac", " ", "", None], [], seen, seen)], PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
+    got = {tuple(r) for r in evidence.name_resolution(spark, str(tmp_path)).select("entry", "company_id").collect()}
+    assert got == {("alz", "c1"), ("B", "c2"), ("Az", "c1"), ("betac", "c2")}
