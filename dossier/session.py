@@ -27,20 +27,38 @@ def build_session(master: str = "local[*]", app: str = "dossier", **conf: str) -
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder all executors share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    that names none (a local test) gets a temporary one. Executors may be lost afterwards:
-    nothing of the result lives on them.
+    A session on one machine that names none (a local test) gets a temporary one; a cluster without one is refused.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder all executors share and read it from there.
+
+    Executors may be lost afterwards: nothing of the result lives on them.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table with at least as many partitions as the session has cores, for costly work on each row.
+
+    Only a scan of few or small files has fewer and is shuffled; it must not hold joins or groupings yet.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

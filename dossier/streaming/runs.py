@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.session import read_table
+from dossier.session import shared_folder as session_folder
 
 LATE = "2 hours"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors can write, below the session's checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    return os.path.join(session_folder(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
