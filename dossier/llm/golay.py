@@ -9,6 +9,7 @@ import numpy as np
 
 # Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+LENGTH = 23
 
 
 @lru_cache(maxsize=1)
