@@ -2,11 +2,13 @@
 
 A value is split into a date, a time and a zone by a few patterns. A numeric date without the
 year in front has two readings, day first and month first. Which one a source uses is decided
-by expectation maximisation: each source is a mixture of the two formats, a value gives
-likelihood to each reading under which it is a date (more if the date is not after the moment
-the value was seen), and the posterior of a value chooses its reading. A source's locale is the
-prior of its mixture; with ``prior_weight=None`` it is binding. Where neither reading has a
-posterior of ``certain``, the value is marked ``ambiguous``.
+by expectation maximisation: each source is a mixture of the two formats and of misprints, a value
+gives likelihood to each reading under which it is a date (more if the date is not after the moment
+the value was seen), and the posterior of a value chooses its reading, or that it has none. A
+source's locale is the prior of its mixture, as strong as the caller says: where it is binding
+(``BINDING``), values move the mixture by next to nothing, and one that is a date only in the
+order the locale rules out is a misprint. Where no interpretation has a posterior of ``certain``, the value is
+marked ``ambiguous``.
 
 Values enter the mixtures through counts per (source, likelihood pattern), a handful of rows for
 each source, so that no group of values is ever collected.
@@ -62,6 +64,9 @@ LOCAL_OFFSETS = {
     ("cdt", "Australia/Adelaide"): 630,
 }
 
+# A prior by which the locale decides, however many values a source has.
+BINDING = {"prior": 1 - 1e-9, "prior_weight": 1e15}
+
 MONTH_OF = {name: number for number, names in MONTHS.items() for name in names.split()}
 
 # Date patterns, and where they have the year, the month, the day (in this order; in the text's order for
@@ -156,33 +161,26 @@ def read_timestamps(values: DataFrame) -> DataFrame:
     )
 
 
-def _mixture(rows: pd.DataFrame, prior_weight: float | None, rounds: int) -> float:
+def _shares(rows: pd.DataFrame, prior_weight: float, misprints: float, rounds: int) -> float:
     """Share of the day-first format in one source, from rows (ts_like_day, ts_like_month, n, prior)."""
     prior = float(rows["prior"].iloc[0])
-    if prior_weight is None:
-        return prior
-    share = prior
+    number, share = rows["n"].to_numpy(), prior
+    day, month = rows["ts_like_day"].to_numpy(), rows["ts_like_month"].to_numpy()
     for _ in range(rounds):
-        day, month = share * rows["ts_like_day"], (1 - share) * rows["ts_like_month"]
-        posterior = (day / (day + month).clip(lower=1e-300)).fillna(0)
-        new = ((posterior * rows["n"]).sum() + prior * prior_weight) / (rows["n"].sum() + prior_weight)
-        if abs(new - share) < 1e-9:
+        of_day, of_month = share * day, (1 - share) * month
+        both = of_day + of_month + misprints
+        sure, other = (of_day / both * number).sum(), (of_month / both * number).sum()
+        new = (sure + prior * prior_weight) / (sure + other + prior_weight)
+        if abs(new - share) < 1e-12:
             break
         share = new
     return share
 
 
-def normalise_timestamps(values: DataFrame, prior_weight: float | None = 4.0, certain: float = 0.95, late: float = 0.02, rounds: int = 50) -> DataFrame:
-    """Adds ``published_us``, ``posterior`` and ``state`` to ``values(source_key, raw, time_zone, locale, seen_us, ...)``.
-
-    ``state`` is ``exact`` (one reading), ``chosen`` (two readings that differ, one of them
-    certain), ``ambiguous`` (none certain; no instant) or ``unusable``: NULL, blank, no full
-    date, impossible, or skipped by the clocks. ``prior_weight`` says how many values the locale
-    counts as (NULL locale: both formats alike); None makes the locale binding. ``late`` is the
-    likelihood of a reading after ``seen_us`` (NULL: any time is as likely), against 1 otherwise.
-    A value whose two readings agree is exact. Rows are kept one for one, repeated ones too, with
-    their other columns (one named like a result is replaced); an empty table gives an empty result.
-    """
+def interpretations(
+    values: DataFrame, prior: float = 0.95, prior_weight: float = 4.0, certain: float = 0.95, late: float = 0.02, misprints: float = 0.001, rounds: int = 50
+) -> DataFrame:
+    """``normalise_timestamps`` with both instants of values that have two readings: ``day_first_us``, ``month_first_us``, and ``p_day_first``, ``p_month_first``."""
     read = read_timestamps(values)
 
     def likelihood(us: Column) -> Column:
@@ -190,32 +188,57 @@ def normalise_timestamps(values: DataFrame, prior_weight: float | None = 4.0, ce
 
     day, month = F.col("ts_day_first_us"), F.col("ts_month_first_us")
     read = cut_lineage(read.withColumn("ts_like_day", likelihood(day)).withColumn("ts_like_month", likelihood(month)))  # parsed once, used twice
-    prior = F.when(F.col("locale").isNull(), 0.5).when(F.col("locale") == "en-US", 0.0 if prior_weight is None else 0.05).otherwise(1.0 if prior_weight is None else 0.95)
+    day_prior = F.when(F.col("locale").isNull(), 0.5).when(F.col("locale") == "en-US", 1 - prior).otherwise(prior)
     key = F.coalesce(F.col("source_key").cast("string"), F.lit(""))
-    counts = read.where("ts_like_day > 0 or ts_like_month > 0").groupBy(key.alias("ts_mix_key"), "ts_like_day", "ts_like_month").agg(F.count("*").cast("double").alias("n"), F.min(prior).alias("prior"))
+    counts = read.where("ts_like_day > 0 or ts_like_month > 0").groupBy(key.alias("ts_mix_key"), "ts_like_day", "ts_like_month").agg(F.count("*").cast("double").alias("n"), F.min(day_prior).alias("prior"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ts_mix_key": [rows["ts_mix_key"].iloc[0]], "day_share": [_mixture(rows, prior_weight, rounds)]})
+        return pd.DataFrame({"ts_mix_key": [rows["ts_mix_key"].iloc[0]], "day_share": [_shares(rows, prior_weight, misprints, rounds)]})
 
     shares = counts.groupBy("ts_mix_key").applyInPandas(fit, "ts_mix_key string, day_share double")
     joined = read.withColumn("ts_mix_key", key).join(shares, "ts_mix_key", "left")
     weight_day, weight_month = F.col("day_share") * F.col("ts_like_day"), (1 - F.col("day_share")) * F.col("ts_like_month")
-    posterior = F.when(weight_day + weight_month > 0, weight_day / (weight_day + weight_month))
-    joined = joined.withColumn("ts_p_day", posterior)
+    total = weight_day + weight_month + misprints
+    readable = F.col("day_share").isNotNull() & (day.isNotNull() | month.isNotNull())
+    joined = joined.withColumn("ts_p_day", F.when(readable, weight_day / total)).withColumn("ts_p_month", F.when(readable, weight_month / total))
     fixed = F.col("ts_fixed_us")
+    p_day, p_month = F.col("ts_p_day"), F.col("ts_p_month")
+    p_none = 1 - p_day - p_month
     agreed = F.when(day == month, day)
-    chosen = F.when(F.col("ts_p_day") >= certain, day).when(1 - F.col("ts_p_day") >= certain, month)
-    alone = F.when(F.col("ts_p_day") == 1, day).when(F.col("ts_p_day") == 0, month)
-    only = F.when(day.isNull() | month.isNull(), alone)
-    sure = F.coalesce(fixed, agreed, only)
+    chosen = F.when(p_day >= certain, day).when(p_month >= certain, month)
+    only = F.when(day.isNull() | month.isNull(), chosen)
+    sure = F.coalesce(fixed, F.when(p_none < certain, agreed), only)
+    open_ = readable & (F.greatest(p_day, p_month, p_none) < certain)
     return joined.select(
-        *(c for c in values.columns if c not in ("published_us", "posterior", "state")),
+        *(c for c in values.columns if c not in ("published_us", "posterior", "state", "day_first_us", "month_first_us", "p_day_first", "p_month_first")),
         F.coalesce(sure, chosen).alias("published_us"),
-        F.when(sure.isNotNull(), 1.0).otherwise(F.greatest("ts_p_day", 1 - F.col("ts_p_day"))).alias("posterior"),
-        F.when(sure.isNotNull(), "exact").when(chosen.isNotNull(), "chosen").when(F.col("ts_p_day").isNotNull() & day.isNotNull() & month.isNotNull(), "ambiguous").otherwise("unusable").alias("state"),
+        F.when(sure.isNotNull(), 1.0).otherwise(F.greatest(p_day, p_month, p_none)).alias("posterior"),
+        F.when(sure.isNotNull(), "exact").when(chosen.isNotNull(), "chosen").when(open_, "ambiguous").otherwise("unusable").alias("state"),
+        day.alias("day_first_us"),
+        month.alias("month_first_us"),
+        p_day.alias("p_day_first"),
+        p_month.alias("p_month_first"),
     )
 
 
+def normalise_timestamps(values: DataFrame, prior: float = 0.95, prior_weight: float = 4.0, certain: float = 0.95, late: float = 0.02, misprints: float = 0.001, rounds: int = 50) -> DataFrame:
+    """Adds ``published_us``, ``posterior`` and ``state`` to ``values(source_key, raw, time_zone, locale, seen_us, ...)``.
+
+    ``state`` is ``exact`` (one reading, or two that agree), ``chosen`` (the posterior of a reading
+    is at least ``certain``), ``ambiguous`` (that of none is; no instant) or ``unusable``: NULL, blank, no full
+    date, impossible, skipped by the clocks, or a misprint by its posterior. ``prior`` is the share that the format of
+    the source's locale has before any value is seen (NULL locale: both alike), ``prior_weight``
+    how many values that counts as; ``**BINDING`` makes the locale rule. ``late`` is the
+    likelihood of a reading after ``seen_us`` (NULL: any time is as likely), against 1 otherwise, and ``misprints`` the weight
+    of there being no reading.
+    Rows are kept one for one, repeated ones too, with
+    their other columns (one named like a result is replaced); an empty table gives an empty result.
+    """
+    read = interpretations(values, prior, prior_weight, certain, late, misprints, rounds)
+    kept = [c for c in values.columns if c not in ("published_us", "posterior", "state")]
+    return read.select(*kept, "published_us", "posterior", "state")
+
+
 def published_values(spark: SparkSession, folder: str) -> DataFrame:
     """The raw publication times of documents and document_refs, with their feed's zone and locale."""
     feeds = read_table(spark, folder, "feeds").select("feed_id", "time_zone", "locale")
@@ -225,11 +248,17 @@ def published_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """One exact instant for every usable value; the locale decides the order of day and month."""
-    normal = normalise_timestamps(published_values(spark, folder), prior_weight=None)
-    return normal.where("published_us is not null").select("src_table", "row_id", "published_us").distinct()
+    """One exact instant for every usable value; the locale, as a binding prior, decides the order of day and month."""
+    normal = normalise_timestamps(published_values(spark, folder), **BINDING)
+    return normal.where("published_us is not null").select("src_table", "row_id", "published_us")
 
 
 def p3_states(spark: SparkSession, folder: str) -> DataFrame:
     """Values per table and state when the formats are learned from the values, the locale being a mere prior."""
     return normalise_timestamps(published_values(spark, folder)).groupBy("src_table", "state").agg(F.count("*").alias("n"), F.count("published_us").alias("instants"))
+
+
+def p3_ambiguous(spark: SparkSession, folder: str) -> DataFrame:
+    """Values whose reading the formats of their feed leave open, with both instants and their posteriors."""
+    read = interpretations(published_values(spark, folder)).where("state = 'ambiguous'")
+    return read.select("src_table", "row_id", "feed_id", "raw", "day_first_us", "month_first_us", F.round("p_day_first", 6).alias("p_day_first"), F.round("p_month_first", 6).alias("p_month_first"))

@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_by_period": references.p2_by_period,
     "p3_found": timestamps.p3_found,
     "p3_states": timestamps.p3_states,
+    "p3_ambiguous": timestamps.p3_ambiguous,
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.operators.timestamps import normalise_timestamps
+from dossier.operators.timestamps import BINDING, normalise_timestamps
 from dossier.session import cut_lineage, read_table
 
 AS_OF = "2026-07-01 00:00:00"
@@ -30,7 +30,7 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     """(document_id, published): the instant of each document's raw time, read as in ``p3_found``; documents without one are left out."""
     feeds = read_table(spark, folder, "feeds").select("feed_id", "time_zone", "locale")
     raw = documents(spark, folder).select("document_id", "feed_id", F.col("published_at").alias("raw"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("seen_us"))
-    normal = normalise_timestamps(raw.join(feeds, "feed_id", "left").withColumn("source_key", F.col("feed_id")), prior_weight=None)
+    normal = normalise_timestamps(raw.join(feeds, "feed_id", "left").withColumn("source_key", F.col("feed_id")), **BINDING)
     return normal.where("published_us is not null").select("document_id", F.timestamp_micros("published_us").alias("published"))
 
 

@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from dossier.operators.timestamps import normalise_timestamps
+from dossier.operators.timestamps import BINDING, normalise_timestamps
 
 SCHEMA = "row int, raw string, time_zone string, locale string, source_key string, seen_us long, offset string, state int"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -51,7 +51,7 @@ CASES = [
 
 
 def test_rules(spark):
-    got = run(spark, [c[:3] for c in CASES], prior_weight=None)
+    got = run(spark, [c[:3] for c in CASES], **BINDING)
     wrong = [(c, got[i]["published_us"]) for i, c in enumerate(CASES) if got[i]["published_us"] != c[3]]
     assert not wrong and len(got) == len(CASES)
 
@@ -60,7 +60,7 @@ def test_all_hours_of_clock_changes(spark):
     rows = []
     for zone, days in ((NY, ((2024, 3, 10), (2024, 11, 3))), (LON, ((2025, 3, 30), (2025, 10, 26))), (SYD, ((2024, 4, 7), (2024, 10, 6))), ("America/Sao_Paulo", ((2024, 2, 18),))):
         rows += [(zone, (*d, h, m)) for d in days for h in range(24) for m in (0, 30, 59)]
-    got = run(spark, [("%04d-%02d-%02d %02d:%02d" % p, z, "en-GB") for z, p in rows], prior_weight=None)
+    got = run(spark, [("%04d-%02d-%02d %02d:%02d" % p, z, "en-GB") for z, p in rows], **BINDING)
     assert [got[i]["published_us"] for i in range(len(rows))] == [local(z, *p) for z, p in rows]
 
 
