@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from dossier.llm.entity_names import allowed, match_names, pigeonhole_join
+from pyspark.sql import functions as F
+
+from dossier.llm.entity_names import LIKE, match_names, pigeonhole_join, plain_text
 
 
 def edit(a, b):
@@ -34,7 +36,7 @@ def test_join_misses_no_pair(spark):
             texts.add("".join(t))
     texts = sorted(texts)
     got = {(r["text"], r["form"]): r["distance"] for r in pigeonhole_join(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(f,) for f in forms], "form string")).collect()}
-    want = {(t, f): edit(t, f) for t in texts for f in forms if len(t) >= 4 and limit(f) and edit(t, f) <= limit(f)}
+    want = {(t, f): edit(t, f) for t in texts for f in forms if t and edit(t, f) <= limit(f)}
     assert got == want and len(want) > 100
 
 
@@ -67,3 +69,26 @@ def test_empty_tables(spark):
     assert match_names(spark.createDataFrame([], "raw string"), listed).count() == 0
     rows = match_names(spark.createDataFrame([("a company", 1)], "raw string, cost int"), listed).collect()
     assert [(r["entity"], r["method"]) for r in rows] == [(None, "unmatched")]
+
+
+def test_every_letter_has_its_plain_one(spark):
+    letters = [(x, plain) for plain, like in LIKE.items() for x in like]
+    assert len({x for x, _ in letters}) == len(letters) and all(plain.isascii() and len(plain) == 1 for plain in LIKE)
+    got = spark.createDataFrame(letters, "x string, plain string").select("x", "plain", plain_text(F.upper("x")).alias("upper"), plain_text(F.col("x")).alias("lower")).collect()
+    # the capital of dotless i is the plain one, and of the Turkish dotted one Java makes two characters
+    assert [r["x"] for r in got if r["lower"] != r["plain"]] == []
+    assert [r["x"] for r in got if r["upper"] != r["plain"] and r["x"] not in "ıʟ"] == []
+
+
+@pytest.mark.parametrize("entry, entity", [("N\u043ekia", "n"), ("\u0410pple", "a"), ("\u0391pple", "a"), ("App\u029fe", "a")])
+def test_look_alike_letters(spark, entry, entity):
+    listed = spark.createDataFrame([("n", "Nokia", None, None), ("a", "Apple", None, None)], "entity string, name string, tickers array<string>, aliases array<string>")
+    rows = match_names(spark.createDataFrame([(entry,)], "raw string"), listed).collect()
+    assert [(r["entity"], r["method"], r["cost"]) for r in rows] == [(entity, "name", 0.0)]
+
+
+def test_ties_are_reported(spark):
+    listed = [("1", "Kestrel Inc", None, None), ("2", "Kestrel PLC", None, None), ("3", "Harwood Rail", None, None), ("4", "Harwood Ruil", None, None)]
+    table = spark.createDataFrame(listed, "entity string, name string, tickers array<string>, aliases array<string>")
+    rows = match_names(spark.createDataFrame([("Kestrel",), ("Harwood Reil",), ("Kestrel PLC",), ("nobody",)], "raw string"), table).collect()
+    assert {r["raw"]: (r["entity"], r["method"]) for r in rows} == {"Kestrel": (None, "tie"), "Harwood Reil": (None, "tie"), "Kestrel PLC": ("2", "name"), "nobody": (None, "unmatched")}
