@@ -1,9 +1,10 @@
 """References to records that do not exist: missing, deleted, or arrived later than they were cited.
 
-References are counted per key and period before anything is joined. Keys that carry at least
+References are counted per key and month before anything is joined. Keys that carry at least
 1/``HEAVY`` of all references (there can be no more than ``HEAVY`` of them) are looked up by
 broadcast, both against the target tables and against the references, so that no hot key is
-shuffled; all other references meet their targets in a shuffle join on the key.
+shuffled; of all other keys, those without a target come from a shuffle anti-join. The orphan keys
+of both are united, with the state that a key's references have.
 """
 
 from __future__ import annotations
@@ -49,6 +50,46 @@ def record_targets(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def utc_month(moment: Column) -> Column:
+    """First day of a timestamp's month in UTC, whatever the session's time zone."""
+    return F.trunc(F.date_from_unix_date(F.floor(F.unix_micros(moment.cast("timestamp")) / 86_400_000_000).cast("int")), "month")
+
+
+def per_period(references: DataFrame, *columns: str) -> DataFrame:
+    """(target, target_id, columns, month, n, first): references counted per key and month before anything is joined."""
+    month = utc_month(F.col("created_at")).alias("month")
+    return references.where("target_id is not null").groupBy("target", "target_id", *columns, month).agg(F.count("*").alias("n"), F.min("created_at").alias("first"))
+
+
+def orphan_keys(counted: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of ``counted`` (``per_period``) that dangle for some of their references: (target, target_id, ref_state, ref_since), those of heavy keys and of the rest.
+
+    ``ref_state`` is missing or deleted for all of a key's references; late for those before ``ref_since``.
+    """
+    key = ["target", "target_id"]
+    keys = cut_lineage(counted.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") >= max(2.0, total / HEAVY)
+    heavy, rest = keys.where(is_heavy), keys.where(~is_heavy)  # at most HEAVY heavy ones
+
+    def state_of(rows: DataFrame) -> DataFrame:
+        return rows.where("target_id is not null").groupBy(*key).agg(F.max("deleted").alias("deleted"), F.min("since").alias("since"))
+
+    def known(rows: DataFrame) -> DataFrame:
+        late = F.col("since") > F.col("first")
+        return rows.where(F.col("deleted") | late).select(*key, F.when(F.col("deleted"), "deleted").otherwise("late").alias("ref_state"), F.col("since").alias("ref_since"))
+
+    def missing(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, F.lit("missing").alias("ref_state"), F.lit(None).cast("timestamp").alias("ref_since"))
+
+    small = F.broadcast(heavy)
+    hot = cut_lineage(state_of(targets.join(small.select(*key), key, "left_semi")))
+    every = state_of(targets)
+    of_heavy = missing(heavy.join(F.broadcast(hot), key, "left_anti")).union(known(hot.join(small, key)))
+    of_rest = missing(rest.join(every, key, "left_anti")).union(known(every.join(rest, key)))
+    return of_heavy, of_rest
+
+
 def dangling_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     """``references`` that dangle, with ``state`` (missing, deleted, late) and ``period`` (YYYY-MM, UTC).
 
@@ -60,37 +101,46 @@ def dangling_references(references: DataFrame, targets: DataFrame) -> DataFrame:
     replaced, names that begin with ``ref_`` are taken. Without targets every reference is missing.
     """
     references = references.where("target_id is not null")
-    per_period = references.groupBy("target", "target_id", F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("n"))
-    counts = cut_lineage(per_period.groupBy("target", "target_id").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") >= max(2.0, total / HEAVY)).select("target", "target_id")  # at most HEAVY rows
+    heavy, rest = orphan_keys(per_period(references), targets)
+    key = ["target", "target_id"]
+    judged = references.join(F.broadcast(heavy), key).unionByName(references.join(rest, key))
+    dangling = judged.where((F.col("ref_state") != "late") | (F.col("ref_since") > F.col("created_at")))
+    kept = [c for c in references.columns if c not in ("state", "period")]
+    return dangling.select(*kept, F.col("ref_state").alias("state"), F.date_format(utc_month(F.col("created_at")), "yyyy-MM").alias("period"))
 
-    def state_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("target", "target_id").agg(F.max("deleted").alias("ref_deleted"), F.min("since").alias("ref_since"), F.lit(True).alias("ref_known"))
 
+def dangling_by_period(references: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src_table, src_field, period, state, orphans, targets): dangling references per table, field, month and state.
+
+    Counted on the references per key and month. Only for the month in which a target arrived the
+    references themselves are looked at again.
+    """
+    of = ["src_table", "src_field"]
+    references = cut_lineage(references.where("target_id is not null"))
+    counted = cut_lineage(per_period(references, *of))
+    heavy, rest = orphan_keys(counted, targets)
+    orphans = heavy.union(rest).withColumn("arrived", utc_month(F.col("ref_since")))
     key = ["target", "target_id"]
-    heavy_state = F.broadcast(heavy.join(state_of(targets.join(F.broadcast(heavy), key, "left_semi")), key, "left"))
-    hot = references.join(heavy_state, key)
-    rest = references.join(F.broadcast(heavy), key, "left_anti").join(state_of(targets.where("target_id is not null")), key, "left")
-    state = F.when(F.col("ref_known").isNull(), "missing").when(F.col("ref_deleted"), "deleted").when(F.col("ref_since") > F.col("created_at"), "late")
-    judged = hot.unionByName(rest).withColumn("ref_state", state).where("ref_state is not null")
-    kept = [c for c in references.columns if c not in ("state", "period")]
-    return judged.select(*kept, F.col("ref_state").alias("state"), F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM").alias("period"))
+    whole = counted.join(orphans, key).where((F.col("ref_state") != "late") | (F.col("month") < F.col("arrived"))).select(*of, "target_id", "month", "ref_state", "n")
+    arriving = references.withColumn("month", utc_month(F.col("created_at"))).join(orphans.where("ref_state = 'late'"), key)
+    part = arriving.where((F.col("month") == F.col("arrived")) & (F.col("ref_since") > F.col("created_at"))).groupBy(*of, "target_id", "month", "ref_state").agg(F.count("*").alias("n"))
+    return whole.union(part).groupBy(*of, F.date_format("month", "yyyy-MM").alias("period"), F.col("ref_state").alias("state")).agg(F.sum("n").alias("orphans"), F.countDistinct("target_id").alias("targets"))
 
 
-def _all(spark: SparkSession, folder: str) -> DataFrame:
+def _all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     table = lambda name: read_table(spark, folder, name)
-    return dangling_references(record_references(table("evidence"), table("reports")), record_targets(table("chunks"), table("documents")))
+    return record_references(table("evidence"), table("reports")), record_targets(table("chunks"), table("documents"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every dangling reference of evidence and reports."""
-    return _all(spark, folder).select("src_table", "row_id", "src_field", "target_id", "state", "period").distinct()
+    references, targets = _all(spark, folder)
+    return dangling_references(cut_lineage(references), targets).select("src_table", "row_id", "src_field", "target_id", "state", "period")
 
 
 def p2_by_period(spark: SparkSession, folder: str) -> DataFrame:
     """Dangling references per table, field, month and state."""
-    return p2_found(spark, folder).groupBy("src_table", "src_field", "period", "state").agg(F.count("*").alias("orphans"), F.countDistinct("target_id").alias("targets"))
+    return dangling_by_period(*_all(spark, folder))
 
 
 _STATES = r"""

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from dossier.operators.references import clean_id, dangling_references, record_references
+from dossier.operators.references import dangling_by_period, dangling_references, record_references
 
 T = [datetime(2024, m, 1) for m in range(1, 13)]
 
@@ -36,3 +36,25 @@ def test_markers_and_spellings(spark):
     got = {(r["src_table"], r["row_id"], r["src_field"], r["target_id"]) for r in record_references(evidence, reports).collect()}
     assert got == {("evidence", 1, "chunk_id", "abc"), ("evidence", 2, "document_id", "d")} | {("reports", 7, "narrative", i) for i in ("a1", "b2", "c3", "d4", "e5", "f6")}
     assert record_references(evidence, reports).count() == len(got)
+
+
+def test_counts_by_period_are_those_of_the_rows(spark):
+    """Keys of every state, hot and cold, with references before, in and after the month of arrival; in any session's time zone."""
+    late = datetime(2024, 5, 10)
+    targets = [("chunk", "late", False, late), ("chunk", "cold", False, late), ("chunk", "gone", True, T[0]), ("chunk", "ok", False, None)]
+    days = [datetime(2024, m, d, 23, 30) for m in (4, 5, 6) for d in (1, 9, 11, 30)]
+    refs = [("chunk", k, day) for day in days for k in ["late"] * 400 + ["cold", "gone", "miss", "ok"]] + [("chunk", "miss", None), ("chunk", "late", None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    table = spark.createDataFrame([(*r, "t", "f") for r in refs], "target string, target_id string, created_at timestamp, src_table string, src_field string")
+    known = spark.createDataFrame(targets, "target string, target_id string, deleted boolean, since timestamp")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = {(r["period"], r["state"]): (r["orphans"], r["targets"]) for r in dangling_by_period(table, known).collect()}
+        rows = dangling_references(table, known).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = {}
+    for r in rows:
+        want.setdefault((r["period"], r["state"]), []).append(r["target_id"])
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert got["2024-04", "late"] == (4 * 401, 2) and got["2024-05", "late"] == (2 * 401, 2) and ("2024-06", "late") not in got and got[None, "missing"] == (1, 1)
