@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.tokens import document_tokens
-from dossier.session import cut_lineage, read_table
+from dossier.session import cut_lineage, read_table, spread
 
 
 def capped_mean(rate: float, cap: int) -> float:
@@ -85,7 +85,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: copies, tokens, target share and the share of all tokens reached (0 for an absent source)."""
-    sums = mixture.groupBy("source").agg(F.count("*").alias("copies"), F.countDistinct("doc_id").alias("documents"), F.max("copy").alias("most_copies"), F.sum("tokens").alias("tokens"))
+    sums = cut_lineage(mixture.groupBy("source").agg(F.count("*").alias("copies"), F.countDistinct("doc_id").alias("documents"), F.max("copy").alias("most_copies"), F.sum("tokens").alias("tokens")))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     return targets.join(sums, "source", "left").select(
         "source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "copies", "most_copies", "tokens")),
@@ -95,7 +95,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The selected copies of documents, globally shuffled."""
-    sizes = cut_lineage(document_tokens(read_table(spark, folder, "documents")))
+    sizes = cut_lineage(document_tokens(spread(read_table(spark, folder, "documents").select("doc_id", "document_id", "source", "text"))))
     return mix(sizes, read_table(spark, folder, "mix_targets"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.llm.tokens import document_tokens
-from dossier.session import cut_lineage, read_table
+from dossier.session import cut_lineage, read_table, spread
 
 GRID = 128
 PARTS = 4
@@ -49,7 +49,8 @@ def fit_repeats(histogram: np.ndarray, rounds: int = 6000) -> np.ndarray:
     """Non-negative repeat counts x with least squares of patterns' sum to the histogram.
 
     Coordinate descent that always takes the pattern with the largest step, which keeps the
-    solution sparse; it ends when no step reaches half a repeat.
+    solution sparse; it ends when no step reaches half a repeat, or after ``rounds`` steps, of which what
+    the histogram has left is packed greedily.
     """
     a = patterns()
     norms = (a * a).sum(1)
@@ -149,7 +150,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         units = bundles.union(parts.where(F.col("size") > quarter).select("item", "size"))
         placed = _place(units, capacity).select(F.col("item").alias("unit"), "box")
         large = parts.where(F.col("size") > quarter).select("item", F.col("item").alias("unit"))
-        boxes = small.select("item", "unit").union(large).join(placed, "unit").select("item", "box")
+        boxes = small.select("item", "unit").union(large).join(placed.hint("merge"), "unit").select("item", "box")  # never by broadcast, both sides grow
     else:
         boxes = _place(parts.select("item", "size"), capacity).select("item", "box")
     rest = parts.join(boxes, "item").select("item", "piece", "size", F.concat(F.lit("p"), F.col("box")).alias("container"))
@@ -159,16 +160,21 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
 
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's container of each kind."""
-    items = cut_lineage(document_tokens(read_table(spark, folder, "documents")).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size")))
+    items = cut_lineage(document_tokens(spread(read_table(spark, folder, "documents").select("doc_id", "document_id", "source", "text"))).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size")))
     kinds = read_table(spark, folder, "container_sizes").where("capacity_tokens > 0").distinct().collect()  # a fixed table of a few rows
     packed = [pack(items, k["capacity_tokens"]).withColumn("container_kind", F.lit(k["container_kind"])) for k in kinds]
     return reduce(DataFrame.union, packed).select("container_kind", "container", F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"))
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers, tokens and share of the capacity used, by kind."""
-    used = p6_pack(spark, folder).where("container is not null").groupBy("container_kind", "container").agg(F.sum("tokens").alias("tokens"))
-    sizes = read_table(spark, folder, "container_sizes").distinct()
-    return used.join(F.broadcast(sizes), "container_kind").groupBy("container_kind", "capacity_tokens").agg(
-        F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * F.col("capacity_tokens"))).alias("fill")
+    """Containers, the least that any packing needs, tokens and share of the capacity used, by kind.
+
+    The least is the larger of the tokens over the capacity and the number of pieces above half of it.
+    """
+    sizes = read_table(spark, folder, "container_sizes").distinct()  # a fixed table of a few rows
+    packed = p6_pack(spark, folder).where("container is not null").join(F.broadcast(sizes), "container_kind")
+    used = packed.groupBy("container_kind", "capacity_tokens", "container").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") * 2 > F.col("capacity_tokens")).alias("large"))
+    least = F.greatest(F.ceil(F.sum("tokens") / F.col("capacity_tokens")), F.sum("large"))
+    return used.groupBy("container_kind", "capacity_tokens").agg(
+        F.count("*").alias("containers"), least.alias("least_containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * F.col("capacity_tokens"))).alias("fill")
     )
