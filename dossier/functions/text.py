@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,25 +75,62 @@ def timeframe(label: Column) -> tuple[Column, Column]:
     return start, F.add_months(start, span)
 
 
-def feature_hash(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dim, weight): signed feature hashing of the words in lower case, scaled to length 1; no rows without words.
+def _counts(lists: pa.ListArray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n): how often each row's list has each code."""
+    rows = np.repeat(np.arange(len(lists), dtype=np.int64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    most = int(code.max()) + 1 if len(code) else 1
+    key, n = np.unique(rows * most + code, return_counts=True)
+    return key // most, key % most, n
+
+
+def _lists(rows: np.ndarray, count: int, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=count)))), pa.int32()), values)
+
 
-    A word's dimension comes from the first four bytes of its SHA-256, its sign from the fifth.
+def text_features(texts: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, dims, weights, terms, tfs, length), one row per row of ``texts``; all of it depends on that row alone, nothing is shuffled.
+
+    ``dims`` and ``weights`` are the signed feature hashing of the words in lower case, scaled to length 1: a
+    word's dimension comes from the first four bytes of its SHA-256, its sign from the fifth. ``terms`` are
+    the distinct runs of ASCII letters and digits with their counts, ``length`` is the number of all. A NULL
+    or empty text has empty lists.
     """
-    words = texts.select(key, F.explode(words_of(F.lower(F.col(text)))).alias("w"))
-    counts = words.groupBy(key, "w").agg(F.count("*").alias("n"))
-    digest = F.sha2("w", 256)
-    dim = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % DIMENSIONS).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    summed = counts.select(key, dim.alias("dim"), (sign * F.col("n")).alias("v")).groupBy(key, "dim").agg(F.sum("v").alias("v")).where("v <> 0")
-    norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, key).select(key, "dim", (F.col("v") / F.col("norm")).alias("weight"))
-
-
-def sparse_vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dims, weights): the vectors of ``feature_hash``, one row each."""
-    rows = feature_hash(texts, key, text).groupBy(key).agg(F.collect_list(F.struct("dim", "weight")).alias("v"))
-    return rows.select(key, F.col("v.dim").alias("dims"), F.col("v.weight").alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.num_rows
+            words = batch.column("words").flatten().dictionary_encode()
+            digests = [hashlib.sha256(w.encode()).digest() for w in words.dictionary.to_pylist()]
+            dim = np.array([int.from_bytes(d[:4]) % DIMENSIONS for d in digests], np.int64)
+            sign = np.array([1 if d[4] % 2 else -1 for d in digests], np.int64)
+            row, code, n = _counts(batch.column("words"), words.indices.to_numpy(zero_copy_only=False))
+            places, at = np.unique(row * DIMENSIONS + dim[code], return_inverse=True) if len(row) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            value = np.bincount(at, n * sign[code], len(places)) if len(row) else np.zeros(0)
+            places, value = places[value != 0], value[value != 0]
+            row = places // DIMENSIONS
+            norm = np.sqrt(np.bincount(row, value * value, count))
+            terms = batch.column("terms").flatten().dictionary_encode()
+            owner, term, tf = _counts(batch.column("terms"), terms.indices.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in keep),
+                    _lists(row, count, pa.array(places % DIMENSIONS, pa.int32())),
+                    _lists(row, count, pa.array(value / norm[row])),
+                    _lists(owner, count, terms.dictionary.take(pa.array(term))),
+                    _lists(owner, count, pa.array(tf, pa.int64())),
+                    pa.array(np.bincount(owner, tf, count), pa.int32()),
+                ],
+                names=[*keep, "dims", "weights", "terms", "tfs", "length"],
+            )
+
+    split = texts.select(*keep, words_of(F.lower(F.col(text))).alias("words"), terms_of(F.col(text)).alias("terms"))
+    return split.mapInArrow(run, ", ".join(f"{c} {dict(texts.dtypes)[c]}" for c in keep) + ", dims array<int>, weights array<double>, terms array<string>, tfs array<long>, length int")
+
+
+def feature_hash(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dim, weight): the vectors of ``text_features`` as rows; none for a text without words."""
+    rows = text_features(texts, text, key).select(key, F.explode(F.arrays_zip("dims", "weights")).alias("v"))
+    return rows.select(key, F.col("v.dims").alias("dim"), F.col("v.weights").alias("weight"))
 
 
 def truncated(text: Column, length: int) -> Column:

@@ -14,7 +14,7 @@ ORDER = ("semantic", "lexical", "graph", "timeline")
 
 
 def fuse(signals: dict[str, DataFrame], key: str, k: int) -> DataFrame:
-    """(query_id, key, score, signals, rank): the k best items of each query.
+    """(query_id, key, score, signals, places, rank): the k best items of each query, with the signals that have them and their ranks there.
 
     Each signal is (query_id, key, rank). The score is the sum of 1 / (60 + rank) in signal
     order; ties go to the item that the earlier signal ranks higher.
@@ -23,6 +23,6 @@ def fuse(signals: dict[str, DataFrame], key: str, k: int) -> DataFrame:
     grouped = reduce(DataFrame.union, tagged).groupBy("query_id", key).agg(F.sort_array(F.collect_list(F.struct("signal", "rank"))).alias("ranks"))
     score = F.aggregate("ranks", F.lit(0.0), lambda s, r: s + F.lit(1.0) / (r["rank"] + DAMPING))
     names = F.array(*(F.lit(n) for n in ORDER))
-    scored = grouped.select("query_id", key, score.alias("score"), F.element_at("ranks", 1).alias("first"), F.array_join(F.transform("ranks", lambda r: F.get(names, r["signal"])), ",").alias("signals"))
+    scored = grouped.select("query_id", key, score.alias("score"), F.element_at("ranks", 1).alias("first"), F.array_join(F.transform("ranks", lambda r: F.get(names, r["signal"])), ",").alias("signals"), F.array_join(F.transform("ranks", lambda r: r["rank"].cast("string")), ",").alias("places"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "first", key)
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "signals", "rank")
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "signals", "places", "rank")

@@ -1,47 +1,42 @@
 """Full-text search over an inverted table: all terms must match, BM25 ranks.
 
-The index is a DataFrame of postings, so that a query touches only the postings of its terms.
-Stop words match nothing and are ignored in queries.
+The index is one row per text with its terms and their counts (``functions.text.text_features``), so that a
+search reads no text. Stop words match nothing and are ignored in queries.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import terms_of
 
 K1, B = 1.2, 0.75
+SALTS = 16  # parts that a frequent term's postings are spread over
 
 # Common English words that a search ignores.
 STOP_WORDS = "a an and are as at be but by for from has have if in into is it its no not of on or such that the their then there these they this to was will with".split()
 
 
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): term counts of each text; NULL and empty texts have none."""
-    terms = texts.select(key, terms_of(F.col(text)).alias("terms"))
-    each = terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return each.where(~F.col("term").isin(STOP_WORDS)).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+def postings(index: DataFrame, key: str) -> DataFrame:
+    """(key, length, term, tf) of ``index(key, length, terms, tfs)``, without stop words."""
+    each = index.select(key, "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return each.select(key, "length", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")).where(~F.col("term").isin(STOP_WORDS))
 
 
-def search(queries: DataFrame, index: DataFrame, texts: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(query_id, key, score, rank): the k best texts that have all terms of ``queries(query_id, query)``.
+def scores(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(query, key, score): all texts of ``index`` that have all terms of each distinct ``query``.
 
-    ``index`` comes from ``postings`` of the same texts. Scores are rounded to 6 digits, ties go
-    to the smaller key. A query without terms finds nothing.
+    Scores are rounded to 6 digits. A query without terms finds nothing.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
-    used = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = queries.select("query").distinct().select("query", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
+    sizes = wanted.groupBy("query").agg(F.count("*").alias("needed"))
+    rows = postings(index, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    used = rows.join(wanted.select("term").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = texts.agg(F.count("*").alias("n"), F.avg(F.size(terms_of(F.col(text)))).alias("mean"))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    corpus = index.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))  # one row
+    idf = F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = (
-        wanted.join(used.join(df, "term"), "term").join(F.broadcast(corpus))
-        .groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
-        .join(sizes, "query_id").where(F.col("hits") == F.col("terms"))
-    )
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    asked = wanted.join(df, "term").join(sizes, "query").crossJoin(F.broadcast(corpus)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = asked.join(used, ["term", "salt"]).groupBy("query", key, "needed").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
+    return found.where("hits = needed").select("query", key, "score")

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, ITEM_BLOCK = 512, 2048
-PLAN_BLOCK = 128  # plans of a few queries each
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,14 +34,15 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar ``vectors(item_id, vector)`` of each of ``queries(query_id, vector)``.
 
-    Exact. Queries and items are gathered in blocks of bounded size; each pair of blocks is one
+    Exact. Queries and items are gathered in blocks of bounded size, the few query blocks are copied to every
+    block of items; each pair of blocks is one
     matrix product, which passes on at most k candidates per query. NULL vectors take no part, a
     vector of length 0 has similarity 0. Scores are rounded to 6 digits, ties go to the smaller item.
     """
     asked = _blocks(queries.where("vector is not null").select("query_id", "vector"), "query_id", QUERY_BLOCK)
-    held = _blocks(vectors.where("vector is not null").select("item_id", "vector"), "item_id", ITEM_BLOCK)
-    last = asked.agg(F.max("block")).first()[0]
-    pairs = held.select(F.col("rows").alias("items"), F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("block")).join(asked, "block")
+    held = _blocks(vectors.where("vector is not null").select("item_id", "vector"), "item_id", ITEM_BLOCK).withColumnRenamed("rows", "items")
+    last = held.agg(F.max("block")).first()[0]
+    pairs = asked.select("rows", F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("block")).join(held, "block")
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def matrix(rows) -> np.ndarray:
@@ -74,50 +74,47 @@ def _dense(rows: pa.StructArray, size: int) -> np.ndarray:
 
 
 def group_tops(asks: DataFrame, members: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """(query_id, group, depth, share, chunk_id, score): in each group, the ``share`` best chunks of each query that asks it, or more.
+    """(ask_id, group, score, item_id, place): in each group, the ``share`` best items of each ask of it.
 
-    Needs asks(plan_id, group, depth, share, asks: [(query_id, dims, weights)]), members(group, chunk_id) and
-    vectors(chunk_id, dims, weights) of length 1. A group's chunks and its plans are gathered in blocks of bounded size;
-    each pair of blocks is one matrix product, so a group of several blocks gives up to ``share`` rows for each of
-    them. Every chunk with a vector takes part, also at similarity 0 or below. Scores are rounded to 6 digits.
+    Needs asks(ask_id, group, share, kinds, dims, weights), where ``kinds`` are the kinds of items asked for (NULL: any),
+    members(group, item_id) and vectors(item_id, kind, dims, weights) of length 1. A group's items and its asks are
+    gathered in blocks of bounded size, and every block of asks is copied to every block of its group's items;
+    each pair of blocks is one matrix product, which passes on at most ``share`` items per ask. Every item with a vector takes
+    part, also at similarity 0 or below. Scores are rounded to 6 digits, ties go to the smaller item.
     """
-
-    def blocked(rows: DataFrame, key: str, most: int) -> DataFrame:
-        counts = rows.groupBy("group").agg(F.ceil(F.count("*") / most).alias("blocks"))
-        return rows.join(counts, "group").withColumn("block", F.pmod(F.xxhash64(key), "blocks")).drop("blocks")
-
-    held = blocked(members, "chunk_id", ITEM_BLOCK).join(vectors, "chunk_id")
-    held = held.groupBy("group", "block").agg(F.collect_list(F.struct("chunk_id", "dims", "weights")).alias("items")).drop("block")
-    counts = F.ceil(F.count("*").over(W.partitionBy("group")) / PLAN_BLOCK)
-    asked = asks.withColumn("block", F.pmod(F.xxhash64("plan_id"), counts))
-    asked = asked.groupBy("group", "block").agg(F.collect_list(F.struct("depth", "share", "asks")).alias("plans")).drop("block")
+    counts = members.groupBy("group").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("blocks"))
+    held = members.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("item_id"), "blocks").cast("int")).drop("blocks").join(vectors, "item_id")
+    held = held.groupBy("group", "block").agg(F.collect_list(F.struct("item_id", "kind", "dims", "weights")).alias("items"))
+    parts = F.ceil(F.count("*").over(W.partitionBy("group")) / QUERY_BLOCK)
+    asked = asks.withColumn("part", F.pmod(F.xxhash64("ask_id"), parts)).groupBy("group", "part").agg(F.collect_list(F.struct("ask_id", "share", "kinds", "dims", "weights")).alias("asks"))
+    asked = asked.join(counts, "group").select("group", "asks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                items, plans = batch.column("items").slice(i, 1).flatten(), batch.column("plans").slice(i, 1).flatten()
-                lists = plans.field("asks")
-                each = np.repeat(np.arange(len(plans)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                depth, share = (plans.field(n).to_numpy(zero_copy_only=False)[each] for n in ("depth", "share"))
-                queries = lists.flatten()
-                names = np.array(items.field("chunk_id").to_pylist(), object)
+                items, queries = batch.column("items").slice(i, 1).flatten(), batch.column("asks").slice(i, 1).flatten()
+                names = np.array(items.field("item_id").to_pylist(), object)
                 order = np.argsort(names)
-                names, matrix = names[order], _dense(items, size)[order].T
-                sought = _dense(queries, size)
-                ids = np.array(queries.field("query_id").to_pylist(), object)
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    part = slice(at, at + QUERY_BLOCK)
-                    scores = np.round(sought[part] @ matrix, 6) + 0.0
-                    most = min(int(share[part].max()), len(names))
-                    best = scores.argmax(axis=1)[:, None] if most == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :most]  # ties: the smaller id
-                    row, place = np.nonzero(np.arange(best.shape[1])[None, :] < share[part][:, None])
-                    chosen = best[row, place]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[part][row], pa.string()), pa.array([batch.column("group")[i].as_py()] * len(row), pa.string()), pa.array(depth[part][row], pa.int32()), pa.array(share[part][row], pa.int32()), pa.array(names[chosen], pa.string()), pa.array(scores[row, chosen], pa.float64())],
-                        names=["query_id", "group", "depth", "share", "chunk_id", "score"],
-                    )
-
-    return asked.join(held, "group").mapInArrow(product, "query_id string, group string, depth int, share int, chunk_id string, score double")
+                names, kinds = names[order], np.array(items.field("kind").to_pylist(), object)[order]
+                scores = np.round(_dense(queries, size) @ _dense(items, size)[order].T, 6) + 0.0
+                wanted = queries.field("kinds").to_pylist()
+                for w in {tuple(k) for k in wanted if k is not None}:
+                    mine = np.array([k is not None and tuple(k) == w for k in wanted])
+                    scores[np.ix_(mine, ~np.isin(kinds, list(w)))] = -np.inf
+                share = queries.field("share").to_numpy(zero_copy_only=False)
+                most = min(int(share.max()), len(names))
+                best = scores.argmax(axis=1)[:, None] if most == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :most]  # ties: the smaller id
+                row, place = np.nonzero((np.arange(best.shape[1])[None, :] < share[:, None]) & np.isfinite(np.take_along_axis(scores, best, 1)))
+                chosen = best[row, place]
+                ids = np.array(queries.field("ask_id").to_pylist(), object)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row], pa.string()), pa.array([batch.column("group")[i].as_py()] * len(row), pa.string()), pa.array(share[row], pa.int32()), pa.array(names[chosen], pa.string()), pa.array(scores[row, chosen], pa.float64())],
+                    names=["ask_id", "group", "share", "item_id", "score"],
+                )
+
+    found = asked.join(held, ["group", "block"]).mapInArrow(product, "ask_id string, group string, share int, item_id string, score double")
+    place = F.row_number().over(W.partitionBy("ask_id", "group").orderBy(F.desc("score"), "item_id")).cast("long")
+    return found.withColumn("place", place).where("place <= share").select("ask_id", "group", "score", "item_id", "place")
 
 
 def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:

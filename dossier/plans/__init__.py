@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier.operators import references, timestamps
 from dossier.plans import evidence, graph, ingest, metrics, retrieval, text
+from dossier.view_sql import with_views
 
 MODULES = (text, retrieval, graph, evidence, metrics, ingest)
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p3_found": with_views("time", "select src_table, row_id, published_us from usable"),
     "p2_found": references.P2_FOUND_SQL,
     "p2_by_period": references.P2_BY_PERIOD_SQL,
 }

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.functions import text as T
-from dossier.operators import scoring
+from dossier.operators import names, scoring
 from dossier.session import read_table
-from dossier.views import with_views
+from dossier.view_sql import with_views
 
 AS_OF_DAY = views.AS_OF[:10]
 
@@ -160,19 +160,9 @@ def retrieval_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """The first company whose name contains an entry of four letters or more, or that has any entry as alias or ticker.
-
-    A name contains an entry only if it contains the entry's first four letters, so the pairs to
-    compare come from an equality join on these.
-    """
-    entries = views.plans(spark, folder).select(F.explode("companies").alias("entry")).where("trim(entry) <> ''").distinct()
-    listed = views.companies(spark, folder).select("company_id", F.lower("name").alias("name"), "aliases", "tickers")
-    grams = listed.select("company_id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 3, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(4))))).alias("gram"))
-    inside = entries.where("length(trim(entry)) >= 4").withColumn("gram", F.substring(F.lower("entry"), 1, 4)).join(grams, "gram").where(F.contains("name", F.lower("entry"))).select("entry", "company_id")
-    alias = listed.select("company_id", F.explode("aliases").alias("entry")).select("entry", "company_id")
-    ticker = listed.select("company_id", F.explode("tickers").alias("t"))
-    by_ticker = entries.join(ticker, F.upper("entry") == F.col("t")).select("entry", "company_id")
-    return inside.union(entries.join(alias, "entry").select("entry", "company_id")).union(by_ticker).groupBy("entry").agg(F.min("company_id").alias("company_id"))
+    """The company that each distinct entry of the plans resolves to."""
+    entries = views.plans(spark, folder).select(F.explode("companies").alias("entry"))
+    return names.resolve_names(entries, views.companies(spark, folder))
 
 
 def foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +197,7 @@ QUERIES = {f.__name__: f for f in (
     replay_match, staleness_semi, latest_report, report_eval, retrieval_eval, name_resolution,
 )}
 
-_KNOWN = "known as (select ev.*, source, publisher, doc_type, published from ev join doc using (document_id) where investigation_id is not null)"
+_KNOWN = "known as (select ev.*, source, publisher, doc_type, published_day published from ev join doc using (document_id) left join pub using (document_id) where investigation_id is not null)"
 _CORR = f"""{_KNOWN},
 docs as (select distinct investigation_id, stance, document_id, coalesce(publisher, source) who, doc_type, published from known),
 per as (select investigation_id, stance, who, count(*) of_who from docs group by 1, 2, 3),
@@ -224,8 +214,8 @@ SQL = {
         f"select '{c}.{k}' relation, count(*) orphans, count(distinct {k}) keys from {c} where {k} is not null and {k} not in (select {t} from {p} where {t} is not null)" for c, k, p, t in RELATIONS
     ),
     "stance_histogram": with_views("ev", "select investigation_id, stance, count(*) evidence, count(distinct chunk_id) chunks, count(distinct document_id) documents from ev group by 1, 2"),
-    "corroboration": with_views("ev doc", f", {_CORR} select investigation_id, stance, document_id, corroborating, publishers from corr"),
-    "source_score": with_views("ev doc", f""", {_CORR} select investigation_id, stance, document_id, round(0.30 * {_TIER}::double
+    "corroboration": with_views("ev doc time pub", f", {_CORR} select investigation_id, stance, document_id, corroborating, publishers from corr"),
+    "source_score": with_views("ev doc time pub", f""", {_CORR} select investigation_id, stance, document_id, round(0.30 * {_TIER}::double
   + 0.25 * coalesce(pow(0.5, greatest(0, date '{AS_OF_DAY}' - published) / 180), 0.5)
   + 0.20 * case when corroborating > 0 then least(publishers / corroborating, 1) else 0 end + 0.25 * least(corroborating / 5, 1), 6) score from corr"""),
     "contradictions": with_views("ev", """, cnt as (select investigation_id, query, count(*) filter (stance = 'supporting') s, count(*) filter (stance = 'contradicting') c from ev group by 1, 2)
@@ -237,7 +227,7 @@ cnt as (select investigation_id, query, count(*) n from ev group by 1, 2)
 select p.investigation_id, p.query, coalesce(n, 0) n from planned p left join cnt c on p.investigation_id = c.investigation_id and p.query = c.query where coalesce(n, 0) < 2"""),
     "evidence_first_writer": with_views("ev", """select investigation_id, chunk_id, evidence_id, query from ev where investigation_id is not null and chunk_id is not null
 qualify row_number() over (partition by investigation_id, chunk_id order by created_at, evidence_id) = 1"""),
-    "confidence": with_views("ev doc", f""", {_KNOWN}, parts as (select investigation_id, least(count(distinct source) / 3, 1) diversity, least(count(distinct document_id) / 5, 1) documents, avg({_TIER}::double) quality,
+    "confidence": with_views("ev doc time pub", f""", {_KNOWN}, parts as (select investigation_id, least(count(distinct source) / 3, 1) diversity, least(count(distinct document_id) / 5, 1) documents, avg({_TIER}::double) quality,
   coalesce(count(*) filter (date '{AS_OF_DAY}' - published <= 365) / nullif(count(published), 0), 0) recency,
   coalesce(count(*) filter (stance = 'supporting') / nullif(count(*) filter (stance in ('supporting', 'contradicting')), 0), 0.5) agreement
   from known where review is null or review <> 'rejected' group by 1)
@@ -262,6 +252,6 @@ select report_id, len(ids) citations, len(list_distinct(ids)) distinct_citations
 placed as (select *, row_number() over (partition by investigation_id, query order by r desc, document_id) place from best),
 firsts as (select investigation_id, query, min(place) filter (expected) f from placed group by 1, 2)
 select count(f) questions, count(*) filter (f is null) skipped, round(coalesce(avg((f <= 3)::int), 0), 6) hit_rate_3, round(coalesce(avg((f <= 10)::int), 0), 6) hit_rate_k, round(coalesce(avg(1 / f), 0), 6) mrr from firsts"""),
-    "name_resolution": with_views("plan", """, entry as (select distinct e entry from (select unnest(companies) e from plan) where length(trim(e)) >= 4)
-select entry, min(company_id) company_id from entry join companies c on contains(lower(c.name), lower(entry)) or list_contains(c.aliases, entry) or list_contains(c.tickers, upper(entry)) group by 1"""),
+    "name_resolution": with_views("plan", """, entry as (select distinct e entry from (select unnest(companies) e from plan) where trim(e) <> '')
+select entry, min(company_id) company_id from entry join companies c on (length(trim(entry)) >= 4 and contains(lower(c.name), lower(entry))) or list_contains(c.aliases, entry) or list_contains(c.tickers, upper(entry)) group by 1"""),
 }

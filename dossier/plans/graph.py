@@ -9,7 +9,7 @@ from dossier import views
 from dossier.operators import graph
 from dossier.plans.retrieval import _EDGES
 from dossier.session import cut_lineage
-from dossier.views import with_views
+from dossier.view_sql import with_views
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:

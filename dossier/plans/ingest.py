@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.functions.text import alias_of
-from dossier.operators.entities import find_entities
 from dossier.session import read_table
 from dossier.sources.html import html_to_text
-from dossier.views import with_views
+from dossier.view_sql import with_views
 
 
 def ingest_dedupe(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,22 +79,22 @@ def html_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Companies named or tagged in every document, with places."""
-    listed = views.companies(spark, folder).select("company_id", "name", "tickers", "aliases")
-    return find_entities(views.documents(spark, folder).select("document_id", "text"), "document_id", "text", listed)
+    return views.mentions(spark, folder)
 
 
 QUERIES = {f.__name__: f for f in (ingest_dedupe, new_references, registry_upsert, filing_top5, filing_path, host_allowlist, unique_keys, html_parse, entity_mentions)}
 
 _HAVE = "have as (select distinct source, source_native_id native_id from documents)"
 SQL = {
+    "entity_mentions": with_views("doc dc", "select document_id, company_id, cast(a as integer) char_start, cast(b as integer) char_end from mention"),
     "ingest_dedupe": f"""with {_HAVE}, cnt as (select source, native_id, count(*) n from document_refs group by 1, 2)
 select c.source, cast(sum(n) as bigint) seen, count(*) distinct_refs, count(*) filter (h.native_id is null) "new" from cnt c left join have h on c.source = h.source and c.native_id = h.native_id group by 1""",
     "new_references": f"""with {_HAVE} select source, native_id, ref_id from document_refs r where not exists (select 1 from have h where h.source = r.source and h.native_id = r.native_id)
 qualify row_number() over (partition by source, native_id order by discovered_at, ref_id) = 1""",
     "registry_upsert": r"""with fresh as (select cik, trim(regexp_replace(name, '(?i),?\s+(incorporated|inc|corporation|corp|company|co|limited|ltd|plc|group|holdings|llc|lp|nv|sa|ag)\.?$', '')) s, name, array_to_string(tickers, ',') tickers, aliases from companies where cik is not null)
 select cik, alias, tickers, case when alias is not distinct from aliases[1] then 'unchanged' else 'updated' end change from (select *, case when length(s) >= 4 and s <> name then s end alias from fresh)""",
-    "filing_top5": with_views("doc", """select publisher, row_number() over (partition by publisher order by published desc, document_id) place, document_id from doc
-where doc_type = 'filing' and publisher is not null and published is not null qualify place <= 5"""),
+    "filing_top5": with_views("doc time pub", """select publisher, row_number() over (partition by publisher order by published desc, document_id) place, document_id from doc join pub using (document_id)
+where doc_type = 'filing' and publisher is not null qualify place <= 5"""),
     "filing_path": with_views("doc", r"""select document_id, '/archive/' || regexp_replace(regexp_extract(source_native_id, '^sec-(\d+)', 1), '^0+', '') || '/' || replace(regexp_extract(source_native_id, '^sec-\d+-(.*)$', 1), '-', '') path
 from doc where source = 'sec_edgar'"""),
     "host_allowlist": with_views("doc", r""", hosts as (select nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') host from doc where url is not null)

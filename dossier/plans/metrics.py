@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.streaming import runs as streaming
-from dossier.views import with_views
+from dossier.view_sql import with_views
 
 
 def _recent(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Search queries: every plan whose id is divisible by 100 asks all its queries, each with its whole text, against all chunks."""
+"""Search queries: every plan whose id is divisible by 100 asks all its queries, each with its whole text, against all chunks.
+
+A query is asked once for each company that the plan enters and that can be resolved, or once without a company, of the
+plan's kinds of documents; its timeline covers the year in which the plan was made.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,44 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier import views
-from dossier.functions import text as T
-from dossier.operators import fusion, graph, lexical, vector
-from dossier.session import read_table
-from dossier.views import with_views
+from dossier.operators import fusion, graph, lexical, names, search, vector
+from dossier.session import cut_lineage, read_table
+from dossier.view_sql import with_views
 
 K = 10
 POOL = K * fusion.POOL
 
 
 def questions(spark: SparkSession, folder: str, step: int = 100) -> DataFrame:
-    """(query_id, plan_id, query): the queries of every plan whose id is divisible by ``step``; an id is the plan's and the query's 0-based place."""
+    """(query_id, plan_id, place, query): the queries of every plan whose id is divisible by ``step``; an id is the plan's and the query's 0-based place."""
     plans = views.plans(spark, folder).where(F.col("plan_id") % step == 0)
     rows = plans.select("plan_id", F.posexplode("queries").alias("place", "query")).where("query is not null")
-    return rows.select(F.concat_ws("-", "plan_id", "place").alias("query_id"), "plan_id", "query")
+    return rows.select(F.concat_ws("-", "plan_id", "place").alias("query_id"), "plan_id", "place", "query")
+
+
+def asked_companies(spark: SparkSession, folder: str, step: int = 100) -> DataFrame:
+    """(plan_id, company_id, ordinal): companies that a plan's entries resolve to, at their first place."""
+    entered = views.plans(spark, folder).where(F.col("plan_id") % step == 0).select("plan_id", F.posexplode("companies").alias("ordinal", "entry"))
+    found = entered.join(names.resolve_names(entered.select("entry"), views.companies(spark, folder)), "entry")
+    return found.groupBy("plan_id", "company_id").agg(F.min("ordinal").alias("ordinal"))
 
 
-def asked_companies(spark: SparkSession, folder: str, step: int) -> DataFrame:
-    """(query_id, company_id): companies that a plan enters by their exact name or alias."""
-    entered = views.plans(spark, folder).where(F.col("plan_id") % step == 0).select(F.col("plan_id").alias("query_id"), F.explode("companies").alias("n"))
-    named = views.companies(spark, folder).select("company_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    return entered.withColumn("n", F.lower(F.trim("n"))).join(named.withColumn("n", F.lower(F.trim("n"))), "n").select("query_id", "company_id").distinct()
+def asks(spark: SparkSession, folder: str, step: int = 100) -> DataFrame:
+    """(ask_id, plan_id, place, ordinal, query, company_id, kinds, timeframe): every question for every company of its plan."""
+    plans = views.plans(spark, folder).select("plan_id", F.when(F.size("doc_types") > 0, F.col("doc_types")).alias("kinds"), F.date_format(F.col("created_at").cast("timestamp"), "yyyy").alias("timeframe"))
+    rows = questions(spark, folder, step).join(plans, "plan_id").join(asked_companies(spark, folder, step), "plan_id", "left")
+    return cut_lineage(rows.select(F.concat_ws("-", "query_id", "company_id").alias("ask_id"), "plan_id", "place", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "query", "company_id", "kinds", "timeframe"))
+
+
+def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return views.first_chunks(spark, folder)
 
 
-def _ranked(df: DataFrame, *order, limit: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
+def run_search(spark: SparkSession, folder: str, asked: DataFrame, k: int = K, index: DataFrame | None = None) -> DataFrame:
+    """``search.search`` of ``asked`` over the tables of a folder."""
+    links = views.document_companies(spark, folder)
+    index = views.chunk_index(spark, folder) if index is None else index
+    return search.search(asked, index, links, graph.co_mentions(links), views.published(spark, folder), views.first_chunks(spark, folder), k)
 
 
 def filter_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,79 +73,51 @@ def near_dup_leader(spark: SparkSession, folder: str) -> DataFrame:
     return vector.leader_clusters(rows, 0.5).withColumnRenamed("group", "query_id")
 
 
-def lexical_signal(spark: SparkSession, folder: str, limit: int = POOL) -> DataFrame:
-    texts = views.chunks(spark, folder).select("chunk_id", "text")
-    return lexical.search(questions(spark, folder), lexical.postings(texts, "chunk_id", "text"), texts, "chunk_id", "text", limit)
+def lexical_match_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten chunks that have all terms of each question and match it best, without filters."""
+    found = lexical.scores(questions(spark, folder), views.chunk_index(spark, folder), "chunk_id")
+    rows = questions(spark, folder).select("query_id", "query").join(found, "query")
+    return search.ranked(rows, "query_id", F.desc("score"), "chunk_id", limit=K).select("query_id", "chunk_id", "score", "rank")
 
 
-def lexical_match_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical_signal(spark, folder, K)
+def _vector_signals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    links = views.document_companies(spark, folder)
+    return search.by_vector(asks(spark, folder), views.chunk_index(spark, folder), links, graph.co_mentions(links), POOL)
 
 
 def semantic_signal(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks by cosine of hashed vectors: a sparse product over the question's dimensions."""
-    items = T.feature_hash(views.chunks(spark, folder), "chunk_id", "text")
-    asked = T.feature_hash(questions(spark, folder), "query_id", "query").select("query_id", "dim", F.col("weight").alias("q"))
-    scored = items.join(asked, "dim").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
-    return _ranked(scored, F.desc("score"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
+    """Chunks of each ask's company and kinds by cosine of hashed vectors."""
+    return _vector_signals(spark, folder)[0]
 
 
-def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The first chunk of each document's highest pipeline version."""
-    first = views.chunks(spark, folder).where("position = 0").select("chunk_id", "document_id", "pipeline_version")
-    return views.latest(first, ["document_id"], F.desc("pipeline_version"), "chunk_id").select("chunk_id", "document_id")
+def graph_signal(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of neighbours' documents: nearer companies first, an equal part of the pool each, filled by cosine to the question."""
+    return _vector_signals(spark, folder)[1]
 
 
-def timeline_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
-    """First chunks of the asked companies' documents, newest first."""
-    mentions = mentions or views.document_companies(spark, folder)
-    docs = asked_companies(spark, folder, step).join(mentions, "company_id").select("query_id", "document_id").distinct()
-    dated = docs.join(views.published(spark, folder), "document_id").join(first_chunks(spark, folder), "document_id")
-    return _ranked(dated, F.desc("published"), "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
+def timeline_signal(spark: SparkSession, folder: str) -> DataFrame:
+    """First chunks of the company's documents within the ask's time frame, newest first."""
+    return search.by_time(asks(spark, folder), views.document_companies(spark, folder), views.published(spark, folder), views.first_chunks(spark, folder), POOL)
 
 
-def graph_signal(spark: SparkSession, folder: str, step: int = 1, mentions: DataFrame | None = None) -> DataFrame:
-    """Chunks of neighbours' documents: nearer companies first, an equal part of the pool each, filled by cosine to the question."""
-    mentions = mentions or views.document_companies(spark, folder)
-    asked = asked_companies(spark, folder, step)
-    depths = graph.min_depths(asked.select(F.col("company_id").alias("seed")), graph.co_mentions(mentions), 2)
-    near = asked.join(depths, F.col("company_id") == F.col("seed")).groupBy(F.col("query_id").alias("plan_id"), F.col("node").alias("company_id")).agg(F.min("depth").alias("depth"))
-    share = F.greatest(F.lit(1), F.floor(F.lit(POOL) / F.count("*").over(W.partitionBy("plan_id")))).cast("int")
-    texts = questions(spark, folder, step)
-    asks = T.sparse_vectors(texts, "query_id", "query").join(texts.select("query_id", "plan_id"), "query_id")
-    asks = asks.groupBy("plan_id").agg(F.collect_list(F.struct("query_id", "dims", "weights")).alias("asks"))  # one plan's queries
-    near = near.withColumn("share", share).join(asks, "plan_id").select("plan_id", F.col("company_id").alias("group"), "depth", "share", "asks")
-    chunks = views.chunks(spark, folder)
-    members = mentions.join(chunks.select("chunk_id", "document_id"), "document_id").select(F.col("company_id").alias("group"), "chunk_id")
-    found = vector.group_tops(near, members, T.sparse_vectors(chunks, "chunk_id", "text"), T.DIMENSIONS)
-    place = F.row_number().over(W.partitionBy("query_id", "group").orderBy(F.desc("score"), "chunk_id")).cast("long")
-    kept = found.withColumn("place", place).where("place <= share").groupBy("query_id", "chunk_id").agg(F.min(F.struct("depth", "group", "place")).alias("best"))
-    return _ranked(kept, "best", "chunk_id", limit=POOL).select("query_id", "chunk_id", "rank")
-
-
-def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Four signals fused; the chunks' documents are looked up only for the final ranks."""
-    mentions = views.document_companies(spark, folder)
-    asked = questions(spark, folder).select("query_id", "plan_id")
-    signals = {
-        "semantic": semantic_signal(spark, folder),
-        "lexical": lexical_signal(spark, folder),
-        "graph": graph_signal(spark, folder, 100, mentions),
-        "timeline": timeline_signal(spark, folder, 100, mentions).withColumnRenamed("query_id", "plan_id").join(asked, "plan_id"),
-    }
-    fused = fusion.fuse({name: df.select("query_id", "chunk_id", "rank") for name, df in signals.items()}, "chunk_id", K)
-    docs = views.documents(spark, folder).select("document_id", "title", "source")
-    return views.chunks(spark, folder).select("chunk_id", "document_id").join(fused, "chunk_id").join(docs, "document_id").select("query_id", "rank", "chunk_id", "document_id", "title", "source", F.round("score", 6).alias("score"), "signals")
+def hybrid_search(spark: SparkSession, folder: str, step: int = 100) -> DataFrame:
+    """Four signals fused; texts and documents are looked up only for the final ranks."""
+    found = run_search(spark, folder, asks(spark, folder, step))
+    wanted = found.select("chunk_id").distinct()
+    texts = read_table(spark, folder, "chunks").join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min(F.struct("document_id", "text")).alias("c"))
+    docs = views.documents(spark, folder).select("document_id", "title", "url", "source", "doc_type")
+    shown = found.join(texts.select("chunk_id", "c.*"), "chunk_id").join(docs, "document_id")
+    return shown.select("ask_id", "rank", "chunk_id", "document_id", "title", "url", "source", "doc_type", "text", F.round("score", 6).alias("score"), "signals", "places")
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of every investigation, fused from its rank by source and its rank by time."""
     ev = views.evidence(spark, folder).where("chunk_id is not null and investigation_id is not null")
     ev = ev.groupBy("investigation_id", "chunk_id").agg(F.max("source_rank").alias("source_rank"), F.max(F.unix_micros("created_at")).alias("at")).withColumnRenamed("investigation_id", "query_id")
-    one = _ranked(ev.where("source_rank is not null"), F.desc("source_rank"), "chunk_id", limit=POOL)
-    two = _ranked(ev, F.desc("at"), "chunk_id", limit=POOL)
+    one = search.ranked(ev.where("source_rank is not null"), "query_id", F.desc("source_rank"), "chunk_id", limit=POOL)
+    two = search.ranked(ev, "query_id", F.desc("at"), "chunk_id", limit=POOL)
     fused = fusion.fuse({"semantic": one.select("query_id", "chunk_id", "rank"), "timeline": two.select("query_id", "chunk_id", "rank")}, "chunk_id", K)
-    return fused.select("query_id", "chunk_id", "rank", "signals", F.round("score", 6).alias("score"))
+    return fused.select("query_id", "chunk_id", "rank", "signals", "places", F.round("score", 6).alias("score"))
 
 
 def timeline_desc(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,79 +147,91 @@ QUERIES = {f.__name__: f for f in (
     filter_metadata, semantic_topk, near_dup_leader, lexical_match_topk, semantic_signal, timeline_signal, graph_signal, hybrid_search, rrf_fusion, timeline_desc, merged_timeline, page_investigations,
 )}
 
-_ASK = "ask as (select plan_id query_id, array_to_string(string_split(queries[1], ' ')[1:2], ' ') query from plan where plan_id % 100 = 0 and queries[1] is not null)"
 _STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
+_QUESTIONS = """question as (select plan_id || '-' || place query_id, plan_id, place, query
+  from (select plan_id, unnest(queries) query, generate_subscripts(queries, 1) - 1 place from plan where plan_id % 100 = 0) where query is not null)"""
+_ASKS = f"""{_QUESTIONS},
+entered as (select plan_id, unnest(companies) entry, generate_subscripts(companies, 1) - 1 ordinal from plan where plan_id % 100 = 0),
+meant as (select entry, min(company_id) company_id from (select distinct entry from entered where trim(entry) <> '') join companies c
+  on (length(trim(entry)) >= 4 and contains(lower(c.name), lower(entry))) or list_contains(c.aliases, entry) or list_contains(c.tickers, upper(entry)) group by 1),
+asked as (select plan_id, company_id, min(ordinal) ordinal from entered join meant using (entry) group by 1, 2),
+ask as (select query_id || coalesce('-' || company_id, '') ask_id, plan_id, place, coalesce(ordinal, 0) ordinal, query, company_id, case when len(doc_types) > 0 then doc_types end kinds, cast(year(created_at) as varchar) timeframe
+  from question join plan using (plan_id) left join asked using (plan_id))"""
 _HASH = r"""word as (select chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda w: w <> '')) w from chunk),
 cnt as (select chunk_id, sha256(w) h, count(*) n from word group by 1, 2),
 dims as (select chunk_id, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from cnt group by 1, 2),
 norm as (select chunk_id, sqrt(sum(v * v)) norm from dims where v <> 0 group by 1),
-qword as (select query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[\s\p{Z}]+'), lambda w: w <> '')) w from ask),
-qcnt as (select query_id, sha256(w) h, count(*) n from qword group by 1, 2),
-qdims as (select query_id, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from qcnt group by 1, 2),
-qnorm as (select query_id, sqrt(sum(v * v)) norm from qdims where v <> 0 group by 1),
-semscore as (select query_id, chunk_id, round(sum(q.v / qn.norm * (d.v / n.norm)), 6) score from qdims q join qnorm qn using (query_id) join dims d using (dim) join norm n using (chunk_id) where q.v <> 0 and d.v <> 0 group by 1, 2),
-semantic as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) rank from semscore qualify rank <= 30)"""
+qword as (select query, unnest(list_filter(regexp_split_to_array(lower(query), '[\s\p{Z}]+'), lambda w: w <> '')) w from (select distinct query from ask)),
+qcnt as (select query, sha256(w) h, count(*) n from qword group by 1, 2),
+qdims as (select query, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from qcnt group by 1, 2),
+qnorm as (select query, sqrt(sum(v * v)) norm from qdims where v <> 0 group by 1),
+shared as (select query, chunk_id, sum(q.v / qn.norm * (d.v / n.norm)) score from qdims q join qnorm qn using (query) join dims d using (dim) join norm n using (chunk_id) where q.v <> 0 and d.v <> 0 group by 1, 2),
+cosine as (select query, chunk_id, document_id, doc_type kind, round(coalesce(score, 0), 6) score
+  from (select distinct query from ask) cross join norm join chunk using (chunk_id) left join doc using (document_id) left join shared using (query, chunk_id))"""
+_SEMANTIC = """semantic as (select ask_id, chunk_id, row_number() over (partition by ask_id order by score desc, chunk_id) rank from ask a join cosine c using (query)
+  where (kinds is null or list_contains(kinds, kind)) and (a.company_id is null or exists (select 1 from dc where dc.company_id = a.company_id and dc.document_id = c.document_id)) qualify rank <= 30)"""
 _LEX = rf"""tok as (select chunk_id, len(t) length, unnest(t) term from (select chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') t from chunk)),
 post as (select chunk_id, term, length, count(*) tf from tok where term not in ({_STOP}) group by 1, 2, 3),
 corpus as (select count(*) n, avg(len(coalesce(regexp_extract_all(lower(text), '[a-z0-9]+'), []))) mean from chunk),
-want as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from ask),
+want as (select distinct query, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from question),
 wanted as (select * from want where term not in ({_STOP})),
 dfs as (select term, count(*) df from post where term in (select term from wanted) group by 1),
-lexscore as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) score, count(*) hits
+lexhits as (select query, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) score, count(*) hits
   from wanted join post using (term) join dfs using (term), corpus group by 1, 2),
-lexical as (select l.query_id, chunk_id, score, row_number() over (partition by l.query_id order by score desc, chunk_id) rank
-  from lexscore l join (select query_id, count(*) terms from wanted group by 1) t on l.query_id = t.query_id and hits = terms qualify rank <= 30)"""
-_ASKED = """askc as (select plan_id query_id, lower(trim(unnest(companies))) n from plan where plan_id % 100 = 0),
-nam as (select company_id, lower(trim(unnest(list_concat([name], coalesce(aliases, []))))) n from companies),
-asked as (select distinct query_id, company_id from askc join nam using (n))"""
-_ASKED_ALL = _ASKED.replace(" where plan_id % 100 = 0", "")
+lexscore as (select l.query, chunk_id, score from lexhits l join (select query, count(*) terms from wanted group by 1) t on l.query = t.query and hits = terms)"""
+_LEXICAL = """lexical as (select ask_id, chunk_id, row_number() over (partition by ask_id order by score desc, chunk_id) rank from ask a join lexscore using (query) join chunk c using (chunk_id) left join doc using (document_id)
+  where (kinds is null or list_contains(kinds, doc_type)) and (a.company_id is null or exists (select 1 from dc where dc.company_id = a.company_id and dc.document_id = c.document_id)) qualify rank <= 30)"""
 _FIRST = "firstc as (select chunk_id, document_id from chunk where position = 0 qualify row_number() over (partition by document_id order by pipeline_version desc, chunk_id) = 1)"
 _TIME = f"""{_FIRST},
-timeline as (select query_id, chunk_id, row_number() over (partition by query_id order by published desc, chunk_id) rank
-  from (select distinct query_id, document_id from asked join dc using (company_id)) a join doc using (document_id) join firstc using (document_id) where published is not null qualify rank <= 30)"""
+newest as (select ask_id, document_id, row_number() over (partition by ask_id order by published desc, document_id) rank from ask join dc using (company_id) join pub using (document_id)
+  where published between make_timestamp(cast(timeframe as bigint), 1, 1, 0, 0, 0) and make_timestamp(cast(timeframe as bigint) + 1, 1, 1, 0, 0, 0) qualify rank <= 30),
+timeline as (select ask_id, chunk_id, rank from newest join firstc using (document_id))"""
 _EDGES = """few as (select document_id from dc group by 1 having count(*) between 2 and 12),
 kept as (select * from dc where document_id in (select document_id from few)),
 edge as (select a.company_id src, b.company_id dst, document_id from kept a join kept b using (document_id) where a.company_id < b.company_id),
 sym as (select distinct src, dst from (select src, dst from edge union all select dst, src from edge))"""
 _GRAPH = f"""{_EDGES},
-w0 as (select distinct company_id seed, company_id node from asked),
+w0 as (select distinct company_id seed, company_id node from ask where company_id is not null),
 w1 as (select distinct seed, dst node from w0 join sym on node = src),
 w2 as (select distinct seed, dst node from w1 join sym on node = src),
 depths as (select seed, node, min(d) depth from (select *, 1 d from w1 union all select *, 2 from w2) where node <> seed group by 1, 2),
-near as (select query_id, node company_id, min(depth) depth from asked join depths on company_id = seed group by 1, 2),
-portion as (select query_id, greatest(1, 30 // count(*)) portion from near group by 1),
-cand as (select query_id, company_id, depth, chunk_id, row_number() over (partition by query_id, company_id order by chunk_id) place from near join dc using (company_id) join firstc using (document_id)),
-best as (select query_id, chunk_id, min((depth, company_id, place)) b from cand join portion using (query_id) where place <= portion group by 1, 2),
-graph as (select query_id, chunk_id, row_number() over (partition by query_id order by b, chunk_id) rank from best qualify rank <= 30)"""
+near as (select ask_id, query, kinds, node, depth, greatest(1, 30 // count(*) over (partition by ask_id)) portion from ask join depths on company_id = seed),
+cand as (select ask_id, node, depth, chunk_id, portion, row_number() over (partition by ask_id, node order by score desc, chunk_id) place
+  from near join dc on node = dc.company_id join cosine using (query, document_id) where kinds is null or list_contains(kinds, kind) qualify place <= portion),
+best as (select ask_id, chunk_id, min((depth, node, place)) b from cand group by 1, 2),
+graph as (select ask_id, chunk_id, row_number() over (partition by ask_id order by b, chunk_id) rank from best qualify rank <= 30)"""
 _FUSE = """sig as ({}),
 ranks as (select query_id, chunk_id, list((s, rank) order by s) r from sig group by 1, 2),
 scored as (select query_id, chunk_id, r, list_sum(list_transform(r, lambda x: 1 / (60 + x[2]))) score from ranks),
 fused as (select query_id, chunk_id, r, score, row_number() over (partition by query_id order by round(score, 12) desc, r[1], chunk_id) rank from scored qualify rank <= 10)"""
-_NAMES = "array_to_string(list_transform(r, lambda x: ['semantic', 'lexical', 'graph', 'timeline'][x[1] + 1]), ',') signals"
+_NAMES = "array_to_string(list_transform(r, lambda x: ['semantic', 'lexical', 'graph', 'timeline'][x[1] + 1]), ',') signals, array_to_string(list_transform(r, lambda x: x[2]), ',') places"
+_SEARCH = f", {_ASKS}, {_HASH}, {_SEMANTIC}, {_LEX}, {_LEXICAL}, {_TIME}, {_GRAPH}, " + _FUSE.format(" union all ".join(f"select ask_id query_id, chunk_id, {i} s, rank from {n}" for i, n in enumerate(fusion.ORDER)))
+_SEARCH_VIEWS = "plan chunk doc time pub dc"
 
 SQL = {
-    "filter_metadata": with_views("doc chunk dc", """select chunk_id, document_id, source, doc_type from chunk join doc using (document_id)
-where doc_type in ('news', 'filing') and source in ('rss', 'sec_edgar', 'wire_archive') and published between date '2023-06-01' and date '2025-12-31' and document_id in (select document_id from dc)"""),
+    "filter_metadata": with_views("doc chunk time pub dc", """select chunk_id, document_id, source, doc_type from chunk join doc using (document_id)
+join pub using (document_id)
+where doc_type in ('news', 'filing') and source in ('rss', 'sec_edgar', 'wire_archive') and published_day between date '2023-06-01' and date '2025-12-31' and document_id in (select document_id from dc)"""),
     "semantic_topk": """with n as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))) len from embeddings where embedding is not null)
 select q.vec_id query_id, v.vec_id item_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (q.len * v.len), 6) score,
   row_number() over (partition by q.vec_id order by round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (q.len * v.len), 6) desc, v.vec_id) rank
 from n q, n v where q.vec_id % 100 = 0 qualify rank <= 10""",
-    "lexical_match_topk": with_views("plan chunk", f", {_ASK}, {_LEX} select query_id, chunk_id, score, rank from lexical where rank <= 10"),
-    "semantic_signal": with_views("plan chunk", f", {_ASK}, {_HASH} select query_id, chunk_id, rank from semantic"),
-    "timeline_signal": with_views("plan chunk doc dc", f", {_ASKED_ALL}, {_TIME} select query_id, chunk_id, rank from timeline"),
-    "graph_signal": with_views("plan chunk doc dc", f", {_ASKED_ALL}, {_FIRST}, {_GRAPH} select query_id, chunk_id, rank from graph"),
-    "hybrid_search": with_views("plan chunk doc dc", f", {_ASK}, {_HASH}, {_LEX}, {_ASKED}, {_TIME}, {_GRAPH}, "
-        + _FUSE.format(" union all ".join(f"select query_id, chunk_id, {i} s, rank from {n}" for i, n in enumerate(fusion.ORDER)))
-        + f" select query_id, rank, chunk_id, document_id, title, source, round(score, 6) score, {_NAMES} from fused join chunk using (chunk_id) join doc using (document_id)"),
+    "lexical_match_topk": with_views("plan chunk", f""", {_QUESTIONS}, {_LEX} select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rank
+from question join lexscore using (query) qualify rank <= 10"""),
+    "semantic_signal": with_views("plan chunk doc dc", f", {_ASKS}, {_HASH}, {_SEMANTIC} select ask_id, chunk_id, rank from semantic"),
+    "timeline_signal": with_views("plan chunk doc time pub dc", f", {_ASKS}, {_TIME} select ask_id, chunk_id, rank from timeline"),
+    "graph_signal": with_views("plan chunk doc dc", f", {_ASKS}, {_HASH}, {_GRAPH} select ask_id, chunk_id, rank from graph"),
+    "hybrid_search": with_views(_SEARCH_VIEWS, f"""{_SEARCH} select query_id ask_id, rank, chunk_id, document_id, title, url, source, doc_type, chunk.text, round(score, 6) score, {_NAMES}
+from fused join chunk using (chunk_id) join doc using (document_id)"""),
     "rrf_fusion": with_views("ev", """, base as (select investigation_id query_id, chunk_id, max(source_rank) source_rank, max(created_at) seen from ev where chunk_id is not null and investigation_id is not null group by 1, 2),
 one as (select query_id, chunk_id, row_number() over (partition by query_id order by source_rank desc, chunk_id) rank from base where source_rank is not null qualify rank <= 30),
 two as (select query_id, chunk_id, row_number() over (partition by query_id order by seen desc, chunk_id) rank from base qualify rank <= 30), """
         + _FUSE.format("select query_id, chunk_id, 0 s, rank from one union all select query_id, chunk_id, 3, rank from two") + f" select query_id, chunk_id, rank, {_NAMES}, round(score, 6) score from fused"),
-    "timeline_desc": with_views("doc dc", """select company_id, document_id, row_number() over (partition by company_id order by published desc, document_id) place, cast(published as varchar) as "day"
-from dc join doc using (document_id) where published is not null qualify place <= 50"""),
-    "merged_timeline": with_views("plan doc dc", """, entry as (select investigation_id, unnest(companies) e, generate_subscripts(companies, 1) - 1 pos from plan),
+    "timeline_desc": with_views("doc time pub dc", """select company_id, document_id, row_number() over (partition by company_id order by published desc, document_id) place, cast(published_day as varchar) as "day"
+from dc join pub using (document_id) qualify place <= 50"""),
+    "merged_timeline": with_views("plan doc time pub dc", """, entry as (select investigation_id, unnest(companies) e, generate_subscripts(companies, 1) - 1 pos from plan),
 mine as (select investigation_id, pos, company_id from entry join companies c on lower(trim(e)) = lower(c.name)),
-firsts as (select investigation_id, document_id, published, min((pos, company_id)) f from mine join dc using (company_id) join doc using (document_id) where published is not null group by 1, 2, 3)
+firsts as (select investigation_id, document_id, published, min((pos, company_id)) f from mine join dc using (company_id) join pub using (document_id) group by 1, 2, 3)
 select investigation_id, document_id, f[2] company_id, row_number() over (partition by investigation_id order by published desc, document_id) place from firsts"""),
     "page_investigations": with_views("plan", "select plan_id, investigation_id, version from plan order by created_at desc, plan_id offset 40 limit 20"),
 }

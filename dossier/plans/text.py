@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.functions import text as T
-from dossier.views import with_views
+from dossier.view_sql import with_views
 
 
 def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The domain's tables, cleaned of second deliveries, and the same views in SQL."""
+"""The domain's tables, cleaned of second deliveries, and what is derived from them. ``view_sql`` states the same in SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.functions import text as T
 from dossier.operators.timestamps import BINDING, normalise_timestamps
-from dossier.session import cut_lineage, read_table
+from dossier.session import cut_lineage, read_table, spread
+from dossier.view_sql import STAGES
 
 AS_OF = "2026-07-01 00:00:00"
 
-ISO_DATE = r"^ *(\d{4}-\d{2}-\d{2})"
+# How a text tags a ticker, with a dollar sign or with its exchange in brackets.
 CASHTAG = r"\$([A-Z]{1,5})\b"
 EXCHANGE_TAG = r"\((?:NYSE|NASDAQ|Nasdaq|AMEX|NYSE American|CBOE)\s*:\s*([A-Z][A-Z.\-]{0,5})\)"
 
@@ -21,9 +23,16 @@ def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_deliveries(df: DataFrame, key: str, *order) -> DataFrame:
+    """The first row of each key in the given order. Only rows of repeated keys, found on keys alone, are sorted, not all texts."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    again = F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(repeated, again, "left_anti").unionByName(latest(df.join(repeated, again).drop("_key"), [key], *order))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document_id, the first delivery."""
-    return latest(read_table(spark, folder, "documents"), ["document_id"], "ingested_at", "doc_id")
+    return first_deliveries(read_table(spark, folder, "documents"), "document_id", "ingested_at", "doc_id")
 
 
 def published(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +45,34 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per chunk_id; the text of second deliveries is the same."""
-    return latest(read_table(spark, folder, "chunks").drop("deleted_at"), ["chunk_id"], F.desc("loaded_at"))
+    return first_deliveries(read_table(spark, folder, "chunks").drop("deleted_at"), "chunk_id", F.desc("loaded_at"))
+
+
+def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, document_id, kind, dims, weights, terms, tfs, length): the features of all chunks and their documents' types.
+
+    Built once from the texts, row by row, and written to the checkpoint folder; searches read no text.
+    """
+    rows = spread(read_table(spark, folder, "chunks").select("chunk_id", "document_id", "text", "loaded_at"))
+    kinds = documents(spark, folder).select("document_id", F.col("doc_type").alias("kind"))
+    once = first_deliveries(rows, "chunk_id", F.desc("loaded_at")).join(kinds, "document_id", "left")
+    return cut_lineage(T.text_features(once, "text", "chunk_id", "document_id", "kind"))
+
+
+def first_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, chunk_id): the first chunk of each document's highest pipeline version."""
+    first = read_table(spark, folder, "chunks").where("position = 0").select("chunk_id", "document_id", "pipeline_version").distinct()
+    return latest(first, ["document_id"], F.desc("pipeline_version"), "chunk_id").select("document_id", "chunk_id")
+
+
+def mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, company_id, char_start, char_end): companies named or tagged in every document."""
+    from dossier.operators.entities import find_entities  # which takes the tags' patterns from here
+
+    listed = companies(spark, folder).select("company_id", "name", "tickers", "aliases")
+    texts = read_table(spark, folder, "documents").select("doc_id", "text")
+    places = find_entities(spread(texts.withColumn("doc_id", F.col("doc_id").cast("string"))), "doc_id", "text", listed)
+    return documents(spark, folder).select(F.col("doc_id").cast("string").alias("doc_id"), "document_id").join(places, "doc_id").drop("doc_id")
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,11 +96,7 @@ def document_companies(spark: SparkSession, folder: str) -> DataFrame:
 
     The texts are searched once: the pairs are written to the checkpoint folder, whatever reads them.
     """
-    from dossier.operators.entities import find_entities  # which takes the tags' patterns from here
-
-    listed = companies(spark, folder).select("company_id", "name", "tickers", "aliases")
-    found = find_entities(documents(spark, folder).select("document_id", "text"), "document_id", "text", listed)
-    return cut_lineage(found.select("document_id", "company_id").distinct())
+    return cut_lineage(mentions(spark, folder).select("document_id", "company_id").distinct())
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,25 +111,3 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 4 + 1).alias("attempt"),
         F.col("value").alias("duration_ms"),
     )
-
-
-STAGES = ("parse", "metadata", "entities", "chunk", "embed", "graph", "validate")
-
-SQL = {
-    "doc": rf"""doc as (select *, try_cast(regexp_extract(published_at, '{ISO_DATE}', 1) as date) published
-  from documents qualify row_number() over (partition by document_id order by ingested_at, doc_id) = 1)""",
-    "chunk": """chunk as (select * exclude (deleted_at) from chunks qualify row_number() over (partition by chunk_id order by loaded_at desc) = 1)""",
-    "ev": """ev as (select distinct * exclude (loaded_at) from evidence)""",
-    "rep": """rep as (select * from reports qualify row_number() over (partition by report_id order by loaded_at) = 1)""",
-    "plan": """plan as (select * from research_plans qualify row_number() over (partition by plan_id order by loaded_at) = 1)""",
-    "dc": rf"""tick as (select company_id, unnest(tickers) ticker from companies),
-tag as (select document_id, unnest(list_concat(regexp_extract_all(text, '{CASHTAG}', 1), regexp_extract_all(text, '{EXCHANGE_TAG}', 1))) ticker from doc),
-dc as (select distinct document_id, company_id from tag join tick using (ticker))""",
-    "run": f"""run as (select event_id run_id, ts moment, user_id document, ({list(STAGES)!r})[event_id % 7 + 1] stage,
-  case event_type when 'error' then 'failure' when 'signup' then 'pending' else 'success' end status, event_id % 4 + 1 attempt, value duration_ms from events)""",
-}
-
-
-def with_views(names: str, query: str) -> str:
-    """A query preceded by the named views."""
-    return "with recursive " + ",\n".join(SQL[n] for n in names.split()) + ("" if query.lstrip().startswith(",") else "\n") + query
