@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import terms_of
+from dossier.session import cut_lineage
 
 K1, B = 1.2, 0.75
 SALTS = 16  # parts that a frequent term's postings are spread over
@@ -32,7 +33,7 @@ def scores(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
     wanted = queries.select("query").distinct().select("query", F.explode(F.array_distinct(terms_of(F.col("query")))).alias("term")).where(~F.col("term").isin(STOP_WORDS))
     sizes = wanted.groupBy("query").agg(F.count("*").alias("needed"))
     rows = postings(index, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    used = rows.join(wanted.select("term").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    used = cut_lineage(rows.join(wanted.select("term").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"]))  # read twice
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     corpus = index.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))  # one row
     idf = F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as T
 from dossier.operators import fusion, graph, lexical, vector
+from dossier.session import cut_lineage
 
 ALL = "*"  # the group of all chunks
 DEPTH = 2  # steps from a company to its neighbours
@@ -39,15 +40,14 @@ def by_vector(asks: DataFrame, index: DataFrame, links: DataFrame, edges: DataFr
     best chunks of each; a chunk of several companies keeps its first place.
     """
     one = asks.select("ask_id", F.coalesce("company_id", F.lit(ALL)).alias("group"), F.lit(0).alias("depth"), F.lit(pool).alias("share"))
-    wanted = one.union(_near(asks, edges, pool).select("ask_id", "group", "depth", "share"))
-    vectors = _vectors(asks.select("ask_id", "query", "kinds"))
-    items = index.where(F.size("dims") > 0).select(F.col("chunk_id").alias("item_id"), "kind", "dims", "weights")
-    of_company = links.join(wanted.select(F.col("group").alias("company_id")).distinct(), "company_id", "left_semi").join(index.select("chunk_id", "document_id"), "document_id")
-    members = of_company.select(F.col("company_id").alias("group"), F.col("chunk_id").alias("item_id"))
-    every = asks.where("company_id is null").limit(1).select(F.lit(ALL).alias("group"))  # only if someone asks it
-    members = members.union(index.select("chunk_id").crossJoin(F.broadcast(every)).select("group", "chunk_id"))
-    tops = vector.group_tops(wanted.drop("depth").join(vectors.drop("query"), "ask_id"), members, items, T.DIMENSIONS)
-    found = tops.join(wanted.select("ask_id", "group", "depth"), ["ask_id", "group"])
+    wanted = cut_lineage(one.union(_near(asks, edges, pool).select("ask_id", "group", "depth", "share")))
+    grouped = wanted.groupBy("ask_id").agg(F.collect_list(F.struct("group", "share")).alias("wanted"))
+    vectors = cut_lineage(_vectors(asks.select("ask_id", "query", "kinds")).drop("query").join(grouped, "ask_id"))
+    of_document = links.groupBy("document_id").agg(F.collect_set("company_id").alias("groups"))  # no more than there are companies
+    groups = F.concat(F.coalesce("groups", F.array().cast("array<string>")), F.array(F.lit(ALL)))
+    items = index.join(of_document, "document_id", "left").select(F.col("chunk_id").alias("item_id"), "kind", groups.alias("groups"), "dims", "weights")
+    tops = vector.group_tops(vectors, items, T.DIMENSIONS)
+    found = cut_lineage(tops.join(wanted.select("ask_id", "group", "depth"), ["ask_id", "group"]))  # for both signals
     semantic = found.where("depth = 0").select("ask_id", F.col("item_id").alias("chunk_id"), F.col("place").alias("rank"))
     first = found.where("depth > 0").groupBy("ask_id", F.col("item_id").alias("chunk_id")).agg(F.min(F.struct("depth", "group", "place")).alias("best"))
     return semantic, ranked(first, "ask_id", "best", "chunk_id", limit=pool).select("ask_id", "chunk_id", "rank")

@@ -73,46 +73,61 @@ def _dense(rows: pa.StructArray, size: int) -> np.ndarray:
     return matrix
 
 
-def group_tops(asks: DataFrame, members: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """(ask_id, group, score, item_id, place): in each group, the ``share`` best items of each ask of it.
-
-    Needs asks(ask_id, group, share, kinds, dims, weights), where ``kinds`` are the kinds of items asked for (NULL: any),
-    members(group, item_id) and vectors(item_id, kind, dims, weights) of length 1. A group's items and its asks are
-    gathered in blocks of bounded size, and every block of asks is copied to every block of its group's items;
-    each pair of blocks is one matrix product, which passes on at most ``share`` items per ask. Every item with a vector takes
-    part, also at similarity 0 or below. Scores are rounded to 6 digits, ties go to the smaller item.
+def group_tops(asks: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(ask_id, group, score, item_id, place): in each group of ``wanted``, its ``share`` best items for each ask.
+
+    Needs asks(ask_id, kinds, dims, weights, wanted: [(group, share)]), where ``kinds`` are the kinds of items asked for (NULL: any),
+    and items(item_id, kind, groups, dims, weights) with vectors of length 1. Items are gathered in blocks of bounded size,
+    whatever groups they are in, so that no group is ever in one place; the few asks are gathered in blocks too, which are copied to every
+    block of items. Each pair of blocks is one matrix product, which passes on at most ``share`` items per ask and group. Every item
+    with a vector takes part, also at similarity 0 or below. Scores are rounded to 6 digits, ties go to the smaller item.
     """
-    counts = members.groupBy("group").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("blocks"))
-    held = members.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("item_id"), "blocks").cast("int")).drop("blocks").join(vectors, "item_id")
-    held = held.groupBy("group", "block").agg(F.collect_list(F.struct("item_id", "kind", "dims", "weights")).alias("items"))
-    parts = F.ceil(F.count("*").over(W.partitionBy("group")) / QUERY_BLOCK)
-    asked = asks.withColumn("part", F.pmod(F.xxhash64("ask_id"), parts)).groupBy("group", "part").agg(F.collect_list(F.struct("ask_id", "share", "kinds", "dims", "weights")).alias("asks"))
-    asked = asked.join(counts, "group").select("group", "asks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    items = items.where((F.size("dims") > 0) & (F.size("groups") > 0))
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    held = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "kind", "groups", "dims", "weights")).alias("items"))
+    parts = max(1, -(-asks.count() // QUERY_BLOCK))
+    asked = asks.groupBy(F.pmod(F.xxhash64("ask_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("ask_id", "kinds", "dims", "weights", "wanted")).alias("asks"))
+    asked = asked.select("asks", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def tops(asks: pa.StructArray, items: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        names = np.array(items.field("item_id").to_pylist(), object)
+        order = np.argsort(names)
+        rank_of = np.empty(len(names), np.int64)
+        rank_of[order] = np.arange(len(names))
+        lists = items.field("groups")
+        groups = lists.flatten().dictionary_encode()
+        known = {g: n for n, g in enumerate(groups.dictionary.to_pylist())}
+        group, item = groups.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        kinds = items.field("kind").dictionary_encode()
+        kind_of = kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False)[item]
+        scores = np.round(_dense(asks, size) @ _dense(items, size).T, 6) + 0.0
+        wanted = asks.field("wanted")
+        starts = np.concatenate(([0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))))
+        each = wanted.flatten()
+        sought = np.array([known.get(g, -1) for g in each.field("group").to_pylist()], np.int64)
+        shares = each.field("share").to_numpy(zero_copy_only=False)
+        for n, (ask, kind) in enumerate(zip(asks.field("ask_id").to_pylist(), asks.field("kinds").to_pylist())):
+            share = np.zeros(len(known), np.int64)
+            mine = slice(starts[n], starts[n + 1])
+            share[sought[mine][sought[mine] >= 0]] = shares[mine][sought[mine] >= 0]
+            asked_kind = [k for k, name in enumerate(kinds.dictionary.to_pylist()) if kind is not None and name in kind]
+            at = np.flatnonzero((share[group] > 0) & (True if kind is None else np.isin(kind_of, asked_kind)))
+            score = scores[n, item[at]]
+            at = at[np.lexsort((rank_of[item[at]], -score, group[at]))]
+            of = group[at]
+            first = np.searchsorted(of, of)
+            at = at[np.arange(len(at)) - first < share[of]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ask] * len(at), pa.string()), groups.dictionary.take(pa.array(group[at])), pa.array(share[group[at]], pa.int32()), pa.array(names[item[at]], pa.string()), pa.array(scores[n, item[at]], pa.float64())],
+                names=["ask_id", "group", "share", "item_id", "score"],
+            )
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                items, queries = batch.column("items").slice(i, 1).flatten(), batch.column("asks").slice(i, 1).flatten()
-                names = np.array(items.field("item_id").to_pylist(), object)
-                order = np.argsort(names)
-                names, kinds = names[order], np.array(items.field("kind").to_pylist(), object)[order]
-                scores = np.round(_dense(queries, size) @ _dense(items, size)[order].T, 6) + 0.0
-                wanted = queries.field("kinds").to_pylist()
-                for w in {tuple(k) for k in wanted if k is not None}:
-                    mine = np.array([k is not None and tuple(k) == w for k in wanted])
-                    scores[np.ix_(mine, ~np.isin(kinds, list(w)))] = -np.inf
-                share = queries.field("share").to_numpy(zero_copy_only=False)
-                most = min(int(share.max()), len(names))
-                best = scores.argmax(axis=1)[:, None] if most == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :most]  # ties: the smaller id
-                row, place = np.nonzero((np.arange(best.shape[1])[None, :] < share[:, None]) & np.isfinite(np.take_along_axis(scores, best, 1)))
-                chosen = best[row, place]
-                ids = np.array(queries.field("ask_id").to_pylist(), object)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row], pa.string()), pa.array([batch.column("group")[i].as_py()] * len(row), pa.string()), pa.array(share[row], pa.int32()), pa.array(names[chosen], pa.string()), pa.array(scores[row, chosen], pa.float64())],
-                    names=["ask_id", "group", "share", "item_id", "score"],
-                )
-
-    found = asked.join(held, ["group", "block"]).mapInArrow(product, "ask_id string, group string, share int, item_id string, score double")
+                yield from tops(batch.column("asks").slice(i, 1).flatten(), batch.column("items").slice(i, 1).flatten())
+
+    found = asked.join(held, "block").select("asks", "items").mapInArrow(product, "ask_id string, group string, share int, item_id string, score double")
     place = F.row_number().over(W.partitionBy("ask_id", "group").orderBy(F.desc("score"), "item_id")).cast("long")
     return found.withColumn("place", place).where("place <= share").select("ask_id", "group", "score", "item_id", "place")
 

@@ -48,7 +48,8 @@ def run_search(spark: SparkSession, folder: str, asked: DataFrame, k: int = K, i
     """``search.search`` of ``asked`` over the tables of a folder."""
     links = views.document_companies(spark, folder)
     index = views.chunk_index(spark, folder) if index is None else index
-    return search.search(asked, index, links, graph.co_mentions(links), views.published(spark, folder), views.first_chunks(spark, folder), k)
+    edges = cut_lineage(graph.co_mentions(links).select("src", "dst").distinct())
+    return search.search(asked, index, links, edges, views.published(spark, folder), views.first_chunks(spark, folder), k)
 
 
 def filter_metadata(spark: SparkSession, folder: str) -> DataFrame:
