@@ -146,3 +146,32 @@ def leader_clusters(rows: DataFrame, threshold: float) -> DataFrame:
         lambda keep, h: F.when(F.exists(keep, lambda x: F.coalesce(F.round(cosine(x.vector, h.vector), 6) >= threshold, F.lit(False))), keep).otherwise(F.concat(keep, F.array(h))),
     )
     return ordered.select("group", F.explode(kept).alias("k")).select("group", F.col("k.item").alias("kept"))
+
+
+def merge_near(hits: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Near-duplicate removal within each search's hits: (group, item_id, corroborated_by).
+
+    ``hits(group, item_id, document_id, checksum, score, place, dims, weights)``: hits are visited by score, best first, then by ``place``; one is
+    kept unless it has the checksum of a hit kept before, or a cosine of at least ``threshold`` to one (a NULL or empty vector is similar
+    to nothing). ``corroborated_by`` are the other documents of what a kept hit stands for, sorted; of the same document leaves no trace. A
+    group is the hits of one question, a few dozen.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.combine_chunks().sort_by([("score", "descending"), ("place", "ascending")])
+        vectors = _dense(rows.select(["dims", "weights"]).to_struct_array().combine_chunks(), size) if len(rows) else np.zeros((0, size))
+        same = np.round(vectors @ vectors.T, 6) >= threshold
+        checksums, documents = rows["checksum"].to_pylist(), rows["document_id"].to_pylist()
+        kept: list[int] = []
+        others: dict[int, set] = {}
+        for n in range(len(rows)):
+            of = next((k for k in kept if checksums[k] == checksums[n] or same[k, n]), None)
+            if of is None:
+                kept.append(n)
+            elif documents[n] != documents[of]:
+                others.setdefault(of, set()).add(documents[n])
+        taken = rows.take(pa.array(kept, pa.int64()))
+        return pa.table({"group": taken["group"], "item_id": taken["item_id"], "corroborated_by": pa.array([sorted(others.get(n, ())) for n in kept], pa.list_(pa.string()))})
+
+    filled = hits.select("group", "item_id", "document_id", "checksum", "score", "place", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("dims", "array<int>"), ("weights", "array<double>"))))
+    return filled.groupBy("group").applyInArrow(run, "group string, item_id string, corroborated_by array<string>")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.functions import text as T
-from dossier.operators import names, scoring
-from dossier.session import read_table
+from dossier.operators import names, scoring, vector
+from dossier.plans import retrieval
+from dossier.session import cut_lineage, read_table
 from dossier.view_sql import with_views
 
 AS_OF_DAY = views.AS_OF[:10]
+NEAR_DUPLICATE = 0.97  # cosine from which a hit repeats another
 
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,12 +115,40 @@ def citation_display(spark: SparkSession, folder: str) -> DataFrame:
     return reports.select("report_id", numbered.alias("narrative"))
 
 
+def _collected(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, place, ordinal, rank, chunk_id, document_id, checksum, score, dims, weights): the hits of every question, in order.
+
+    A plan's questions are asked in their order, each for the plan's companies in theirs; a chunk that came up before is left out.
+    """
+    asked = retrieval.asks(spark, folder)
+    index = views.chunk_index(spark, folder)
+    found = retrieval.run_search(spark, folder, asked, index=index).join(asked.select("ask_id", "plan_id", "place", "ordinal"), "ask_id")
+    first = cut_lineage(views.latest(found, ["plan_id", "chunk_id"], "place", "ordinal", "rank").select("plan_id", "place", "ordinal", "rank", "chunk_id", "score"))
+    texts = read_table(spark, folder, "chunks").join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min(F.sha2("text", 256)).alias("checksum"))
+    return first.join(index.select("chunk_id", "document_id", "dims", "weights"), "chunk_id").join(texts, "chunk_id")
+
+
+def evidence_collect(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of every plan whose id is divisible by 100: its questions' hits without near duplicates, and the stance where a reviewer gave one."""
+    hits = cut_lineage(_collected(spark, folder))
+    group = F.concat_ws("-", "plan_id", "place").alias("group")
+    order = F.col("ordinal") * 1000 + F.col("rank")
+    kept = vector.merge_near(hits.select(group, F.col("chunk_id").alias("item_id"), "document_id", "checksum", F.round("score", 12).alias("score"), order.alias("place"), "dims", "weights"), NEAR_DUPLICATE, T.DIMENSIONS)
+    rows = hits.select(group, F.col("chunk_id").alias("item_id"), "plan_id", "place", "document_id", "score").join(kept, ["group", "item_id"])
+    plans = views.plans(spark, folder).select("plan_id", "investigation_id")
+    stances = views.evidence(spark, folder).where("investigation_id is not null and chunk_id is not null").groupBy("investigation_id", "chunk_id").agg(F.min("stance").alias("stance"))
+    judged = rows.withColumnRenamed("item_id", "chunk_id").join(plans, "plan_id").join(stances, ["investigation_id", "chunk_id"], "left")
+    return judged.select("plan_id", "place", "chunk_id", "document_id", F.round("score", 6).alias("score"), F.array_join("corroborated_by", ",").alias("corroborated_by"), F.coalesce("stance", F.lit("unknown")).alias("stance"))
+
+
 def replay_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Per investigation and query: whether the evidence that passed review names the same documents as all of it."""
-    ev = views.evidence(spark, folder).where("investigation_id is not null and query is not null and document_id is not null")
-    kept = F.when(F.coalesce("review", F.lit("")) != "rejected", F.col("document_id"))
-    sets = ev.groupBy("investigation_id", "query").agg(F.countDistinct("document_id").alias("documents"), F.countDistinct(kept).alias("kept"))
-    return sets.select("investigation_id", "query", "documents", (F.col("documents") == F.col("kept")).alias("same"))
+    """Per plan: whether asking its questions again finds the chunks that its investigation's evidence records for them."""
+    again = evidence_collect(spark, folder).select("plan_id", "place", "chunk_id", F.lit(1).alias("again"))
+    asked = retrieval.questions(spark, folder).select("plan_id", "place", "query").join(views.plans(spark, folder).select("plan_id", "investigation_id"), "plan_id")
+    stored = views.evidence(spark, folder).where("chunk_id is not null").select("investigation_id", "query", "chunk_id").distinct()
+    recorded = asked.join(stored, ["investigation_id", "query"]).select("plan_id", "place", "chunk_id", F.lit(1).alias("recorded"))
+    both = again.join(recorded, ["plan_id", "place", "chunk_id"], "full")
+    return both.groupBy("plan_id").agg(F.count("recorded").alias("recorded"), F.count("again").alias("again"), F.count(F.col("recorded") + F.col("again")).alias("both")).withColumn("same", (F.col("both") == F.col("recorded")) & (F.col("both") == F.col("again")))
 
 
 def staleness_semi(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,17 +175,29 @@ def report_eval(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("report_id", "citations", "distinct_citations", "evidence", F.round(F.coalesce(F.try_divide("distinct_citations", "evidence"), F.lit(0.0)), 6).alias("coverage"), ((F.col("supporting") > 0) & (F.col("contradicting") > 0)).alias("both_stances"), F.round(F.coalesce(F.try_divide("unknown", "evidence"), F.lit(0.0)), 6).alias("unknown_share"))
 
 
+def expected_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, document_id): documents of the companies that a plan enters, of the plan's kinds; what its question should find."""
+    wanted = views.plans(spark, folder).where("plan_id % 100 = 0").select("plan_id", F.when(F.size("doc_types") > 0, F.col("doc_types")).alias("kinds"))
+    docs = views.document_companies(spark, folder).join(views.documents(spark, folder).select("document_id", "doc_type"), "document_id")
+    rows = retrieval.asked_companies(spark, folder).join(wanted, "plan_id").join(docs, "company_id")
+    return rows.where(F.col("kinds").isNull() | F.array_contains("kinds", F.col("doc_type"))).select("plan_id", "document_id").distinct()
+
+
 def retrieval_eval(spark: SparkSession, folder: str) -> DataFrame:
-    """Hit rates and mean reciprocal rank: approved evidence documents are expected among each query's evidence by source rank."""
-    ev = views.evidence(spark, folder).where("investigation_id is not null and query is not null and document_id is not null and source_rank is not null")
-    best = ev.groupBy("investigation_id", "query", "document_id").agg(F.max("source_rank").alias("r"), F.max((F.coalesce("review", F.lit("")) == "approved").cast("int")).alias("expected"))
-    place = F.row_number().over(W.partitionBy("investigation_id", "query").orderBy(F.desc("r"), "document_id"))
-    first = best.withColumn("place", place).groupBy("investigation_id", "query").agg(F.min(F.when(F.col("expected") == 1, F.col("place"))).alias("first"))
-    return first.agg(
-        F.count("first").alias("questions"), F.count_if(F.col("first").isNull()).alias("skipped"),
-        F.round(F.coalesce(F.avg(F.when(F.col("first").isNotNull(), (F.col("first") <= 3).cast("int"))), F.lit(0.0)), 6).alias("hit_rate_3"),
-        F.round(F.coalesce(F.avg(F.when(F.col("first").isNotNull(), (F.col("first") <= 10).cast("int"))), F.lit(0.0)), 6).alias("hit_rate_k"),
-        F.round(F.coalesce(F.avg(1 / F.col("first")), F.lit(0.0)), 6).alias("mrr"),
+    """Hit rates and mean reciprocal rank of the search for plans' questions, without filters: the place of the first expected document among those found."""
+    asked = views.plans(spark, folder).where("plan_id % 100 = 0 and trim(question) <> ''").select("plan_id", F.col("plan_id").cast("string").alias("ask_id"), F.col("question").alias("query"))
+    no_filter = {"company_id": F.lit(None).cast("string"), "kinds": F.lit(None).cast("array<string>"), "timeframe": F.lit(None).cast("string")}
+    index = views.chunk_index(spark, folder)
+    found = retrieval.run_search(spark, folder, asked.withColumns(no_filter), index=index)
+    docs = found.join(index.select("chunk_id", "document_id"), "chunk_id").groupBy("ask_id", "document_id").agg(F.min("rank").alias("rank"))
+    docs = docs.withColumn("place", F.row_number().over(W.partitionBy("ask_id").orderBy("rank"))).withColumn("plan_id", F.col("ask_id").cast("long"))
+    expected = cut_lineage(expected_documents(spark, folder))
+    first = docs.join(expected, ["plan_id", "document_id"]).groupBy("plan_id").agg(F.min("place").alias("first"))
+    each = asked.select("plan_id").join(expected.select("plan_id").distinct().withColumn("known", F.lit(1)), "plan_id", "left").join(first, "plan_id", "left")
+    hit = lambda most: F.round(F.coalesce(F.avg(F.when(F.col("known") == 1, F.coalesce((F.col("first") <= most).cast("int"), F.lit(0)))), F.lit(0.0)), 6)
+    return each.agg(
+        F.count("known").alias("questions"), F.count_if(F.col("known").isNull()).alias("skipped"), hit(3).alias("hit_rate_3"), hit(retrieval.K).alias("hit_rate_k"),
+        F.round(F.coalesce(F.avg(F.when(F.col("known") == 1, F.coalesce(1 / F.col("first"), F.lit(0.0)))), F.lit(0.0)), 6).alias("mrr"),
     )
 
 
@@ -194,7 +236,7 @@ RELATIONS = (
 
 QUERIES = {f.__name__: f for f in (
     foreign_keys, stance_histogram, corroboration, source_score, contradictions, evidence_gaps, evidence_first_writer, confidence, citation_extract, citation_gate, citation_resolve, citation_display,
-    replay_match, staleness_semi, latest_report, report_eval, retrieval_eval, name_resolution,
+    evidence_collect, replay_match, staleness_semi, latest_report, report_eval, retrieval_eval, name_resolution,
 )}
 
 _KNOWN = "known as (select ev.*, source, publisher, doc_type, published_day published from ev join doc using (document_id) left join pub using (document_id) where investigation_id is not null)"
@@ -205,6 +247,25 @@ total as (select investigation_id, stance, sum(of_who) docs, count(*) whos from
 corr as (select d.investigation_id, d.stance, d.document_id, doc_type, published, cast(docs - 1 as bigint) corroborating, whos - (of_who = 1)::int publishers
   from docs d join per p on p.investigation_id = d.investigation_id and p.stance = d.stance and p.who = d.who join total t on t.investigation_id = d.investigation_id and t.stance = d.stance)"""
 _TIER = "case doc_type when 'filing' then 1.0 when 'transcript' then 0.9 when 'news' then 0.6 when 'profile' then 0.4 else 0.5 end"
+_QUESTION_ASKS = retrieval._ASKS[: retrieval._ASKS.index("ask as ")] + """ask as (select plan_id ask_id, question query, null::varchar company_id, null::varchar[] kinds from plan where plan_id % 100 = 0 and trim(question) <> '')"""
+_COLLECT = retrieval._SEARCH + """,
+hits as materialized (select plan_id, place, ordinal, rank, chunk_id, document_id, sha256(text) checksum, round(f.score, 12) score, row_number() over (partition by plan_id, place order by round(f.score, 12) desc, ordinal, rank) n
+  from (select *, row_number() over (partition by plan_id, chunk_id order by place, ordinal, rank) seen from fused join ask on ask.ask_id = fused.query_id) f join chunk using (chunk_id) where seen = 1),
+pairs as materialized (select a.plan_id, a.place, a.n, b.n m, a.chunk_id x, b.chunk_id y, a.checksum = b.checksum same from hits a join hits b on a.plan_id = b.plan_id and a.place = b.place and b.n < a.n),
+of_hits as materialized (select chunk_id, dim, v / norm w from dims join norm using (chunk_id) where chunk_id in (select chunk_id from hits)),
+sims as materialized (select x, y, round(sum(p.w * q.w), 6) cosine from (select distinct x, y from pairs) join of_hits p on p.chunk_id = x join of_hits q on q.chunk_id = y and q.dim = p.dim group by 1, 2),
+alike as materialized (select plan_id, place, n, list(m) earlier from pairs left join sims using (x, y) where same or cosine >= 0.97 group by 1, 2, 3),
+visit as (
+  select plan_id, place, n, n leader, [n] kept from hits where n = 1
+  union all
+  select v.plan_id, v.place, h.n, coalesce(list_min(list_intersect(v.kept, coalesce(e.earlier, []))), h.n), case when len(list_intersect(v.kept, coalesce(e.earlier, []))) = 0 then list_append(v.kept, h.n) else v.kept end
+  from visit v join hits h on h.plan_id = v.plan_id and h.place = v.place and h.n = v.n + 1 left join alike e on e.plan_id = h.plan_id and e.place = h.place and e.n = h.n),
+led as (select v.plan_id, v.place, v.leader, string_agg(distinct h.document_id, ',' order by h.document_id) others from visit v join hits h on h.plan_id = v.plan_id and h.place = v.place and h.n = v.n
+  join hits l on l.plan_id = v.plan_id and l.place = v.place and l.n = v.leader where v.leader <> v.n and h.document_id <> l.document_id group by 1, 2, 3),
+stances as (select investigation_id, chunk_id, min(stance) stance from ev group by 1, 2),
+collected as (select h.plan_id, h.place, h.chunk_id, h.document_id, round(h.score, 6) score, coalesce(others, '') corroborated_by, coalesce(s.stance, 'unknown') stance
+  from visit v join hits h on h.plan_id = v.plan_id and h.place = v.place and h.n = v.n join plan p on p.plan_id = h.plan_id
+  left join led on led.plan_id = h.plan_id and led.place = h.place and led.leader = h.n left join stances s on s.investigation_id = p.investigation_id and s.chunk_id = h.chunk_id where v.leader = v.n)"""
 _CITES = r"""ids as (select *, coalesce(regexp_extract_all(narrative, '\[chunk:([0-9a-f-]{36})\]', 1), []) ids from rep),
 seen as (select report_id, investigation_id, ids[i] chunk_id, min(i) i from ids, lateral (select unnest(range(1, len(ids) + 1)) i) group by 1, 2, 3),
 cite as (select report_id, investigation_id, chunk_id, cast(row_number() over (partition by report_id order by i) as integer) number from seen)"""
@@ -238,8 +299,10 @@ select investigation_id, round(diversity, 6) diversity, round(documents, 6) docu
 n as (select report_id, count(*) cited, count(*) filter (g.chunk_id is null) invented from cite c left join good g on c.investigation_id = g.investigation_id and c.chunk_id = g.chunk_id group by 1)
 select r.report_id, coalesce(cited, 0) cited, coalesce(invented, 0) invented, case when cited is null then 'uncited' when invented > 0 then 'invented' else 'pass' end verdict from rep r left join n using (report_id)"""),
     "citation_resolve": with_views("rep chunk doc", f", {_CITES} select report_id, number, chunk_id, document_id, title, substring(c.text, 1, 240) excerpt from cite join chunk c using (chunk_id) join doc using (document_id)"),
-    "replay_match": with_views("ev", """select investigation_id, query, count(distinct document_id) documents, count(distinct document_id) = count(distinct document_id) filter (coalesce(review, '') <> 'rejected') same
-from ev where investigation_id is not null and query is not null and document_id is not null group by 1, 2"""),
+    "evidence_collect": with_views(retrieval._SEARCH_VIEWS + " ev", f"{_COLLECT} select plan_id, place, chunk_id, document_id, score, corroborated_by, stance from collected"),
+    "replay_match": with_views(retrieval._SEARCH_VIEWS + " ev", f"""{_COLLECT}, recorded as (select distinct plan_id, place, chunk_id from question join plan using (plan_id) join ev on ev.investigation_id = plan.investigation_id and ev.query = question.query where chunk_id is not null)
+select plan_id, count(r.chunk_id) recorded, count(c.chunk_id) again, count(r.chunk_id || c.chunk_id) "both", recorded = again and "both" = again same
+from recorded r full join collected c using (plan_id, place, chunk_id) group by 1"""),
     "staleness_semi": with_views("rep ev", """, lat as (select * from rep qualify row_number() over (partition by investigation_id order by version desc, report_id desc) = 1)
 select report_id, investigation_id from lat where exists (select 1 from ev where ev.investigation_id = lat.investigation_id and ev.created_at > lat.created_at)"""),
     "latest_report": with_views("rep", "select report_id, investigation_id, version from rep join (select investigation_id, max(version) version from rep group by 1) using (investigation_id, version)"),
@@ -247,11 +310,14 @@ select report_id, investigation_id from lat where exists (select 1 from ev where
 n as (select investigation_id, count(*) evidence, count(*) filter (stance = 'supporting') s, count(*) filter (stance = 'contradicting') c, count(*) filter (stance = 'unknown') u from ev group by 1)
 select report_id, len(ids) citations, len(list_distinct(ids)) distinct_citations, coalesce(evidence, 0) evidence, round(coalesce(len(list_distinct(ids)) / nullif(evidence, 0), 0), 6) coverage,
   coalesce(s > 0 and c > 0, false) both_stances, round(coalesce(u / nullif(evidence, 0), 0), 6) unknown_share from lat left join n using (investigation_id)"""),
-    "retrieval_eval": with_views("ev", """, best as (select investigation_id, query, document_id, max(source_rank) r, bool_or(coalesce(review, '') = 'approved') expected from ev
-  where investigation_id is not null and query is not null and document_id is not null and source_rank is not null group by 1, 2, 3),
-placed as (select *, row_number() over (partition by investigation_id, query order by r desc, document_id) place from best),
-firsts as (select investigation_id, query, min(place) filter (expected) f from placed group by 1, 2)
-select count(f) questions, count(*) filter (f is null) skipped, round(coalesce(avg((f <= 3)::int), 0), 6) hit_rate_3, round(coalesce(avg((f <= 10)::int), 0), 6) hit_rate_k, round(coalesce(avg(1 / f), 0), 6) mrr from firsts"""),
+    "retrieval_eval": with_views("plan chunk doc dc", f""", {_QUESTION_ASKS}, {retrieval._HASH}, {retrieval._SEMANTIC}, {retrieval._LEX}, {retrieval._LEXICAL},
+"""+ retrieval._FUSE.format("select ask_id query_id, chunk_id, 0 s, rank from semantic union all select ask_id, chunk_id, 1, rank from lexical") + """,
+docs as (select query_id plan_id, document_id, row_number() over (partition by query_id order by min(rank)) place from fused join chunk using (chunk_id) group by 1, 2),
+expected as (select distinct plan_id, document_id from asked join plan using (plan_id) join dc using (company_id) join doc using (document_id) where coalesce(len(doc_types), 0) = 0 or list_contains(doc_types, doc_type)),
+firsts as (select plan_id, min(place) f from expected left join docs using (plan_id, document_id) group by 1),
+each as (select a.ask_id, p.plan_id, f from ask a left join firsts p on a.ask_id = p.plan_id)
+select count(plan_id) questions, count(*) filter (plan_id is null) skipped, round(coalesce(avg(coalesce((f <= 3)::int, 0)) filter (plan_id is not null), 0), 6) hit_rate_3,
+  round(coalesce(avg(coalesce((f <= 10)::int, 0)) filter (plan_id is not null), 0), 6) hit_rate_k, round(coalesce(avg(coalesce(1 / f, 0)) filter (plan_id is not null), 0), 6) mrr from each"""),
     "name_resolution": with_views("plan", """, entry as (select distinct e entry from (select unnest(companies) e from plan) where trim(e) <> '')
 select entry, min(company_id) company_id from entry join companies c on (length(trim(entry)) >= 4 and contains(lower(c.name), lower(entry))) or list_contains(c.aliases, entry) or list_contains(c.tickers, upper(entry)) group by 1"""),
 }

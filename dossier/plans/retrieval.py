@@ -156,18 +156,18 @@ entered as (select plan_id, unnest(companies) entry, generate_subscripts(compani
 meant as (select entry, min(company_id) company_id from (select distinct entry from entered where trim(entry) <> '') join companies c
   on (length(trim(entry)) >= 4 and contains(lower(c.name), lower(entry))) or list_contains(c.aliases, entry) or list_contains(c.tickers, upper(entry)) group by 1),
 asked as (select plan_id, company_id, min(ordinal) ordinal from entered join meant using (entry) group by 1, 2),
-ask as (select query_id || coalesce('-' || company_id, '') ask_id, plan_id, place, coalesce(ordinal, 0) ordinal, query, company_id, case when len(doc_types) > 0 then doc_types end kinds, cast(year(created_at) as varchar) timeframe
+ask as materialized (select query_id || coalesce('-' || company_id, '') ask_id, plan_id, place, coalesce(ordinal, 0) ordinal, query, company_id, case when len(doc_types) > 0 then doc_types end kinds, cast(year(created_at) as varchar) timeframe
   from question join plan using (plan_id) left join asked using (plan_id))"""
 _HASH = r"""word as (select chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda w: w <> '')) w from chunk),
 cnt as (select chunk_id, sha256(w) h, count(*) n from word group by 1, 2),
-dims as (select chunk_id, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from cnt group by 1, 2),
-norm as (select chunk_id, sqrt(sum(v * v)) norm from dims where v <> 0 group by 1),
+dims as materialized (select chunk_id, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from cnt group by 1, 2),
+norm as materialized (select chunk_id, sqrt(sum(v * v)) norm from dims where v <> 0 group by 1),
 qword as (select query, unnest(list_filter(regexp_split_to_array(lower(query), '[\s\p{Z}]+'), lambda w: w <> '')) w from (select distinct query from ask)),
 qcnt as (select query, sha256(w) h, count(*) n from qword group by 1, 2),
 qdims as (select query, ('0x' || substr(h, 1, 8))::bigint % 384 dim, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then n else -n end) v from qcnt group by 1, 2),
 qnorm as (select query, sqrt(sum(v * v)) norm from qdims where v <> 0 group by 1),
 shared as (select query, chunk_id, sum(q.v / qn.norm * (d.v / n.norm)) score from qdims q join qnorm qn using (query) join dims d using (dim) join norm n using (chunk_id) where q.v <> 0 and d.v <> 0 group by 1, 2),
-cosine as (select query, chunk_id, document_id, doc_type kind, round(coalesce(score, 0), 6) score
+cosine as materialized (select query, chunk_id, document_id, doc_type kind, round(coalesce(score, 0), 6) score
   from (select distinct query from ask) cross join norm join chunk using (chunk_id) left join doc using (document_id) left join shared using (query, chunk_id))"""
 _SEMANTIC = """semantic as (select ask_id, chunk_id, row_number() over (partition by ask_id order by score desc, chunk_id) rank from ask a join cosine c using (query)
   where (kinds is null or list_contains(kinds, kind)) and (a.company_id is null or exists (select 1 from dc where dc.company_id = a.company_id and dc.document_id = c.document_id)) qualify rank <= 30)"""
@@ -204,7 +204,7 @@ graph as (select ask_id, chunk_id, row_number() over (partition by ask_id order
 _FUSE = """sig as ({}),
 ranks as (select query_id, chunk_id, list((s, rank) order by s) r from sig group by 1, 2),
 scored as (select query_id, chunk_id, r, list_sum(list_transform(r, lambda x: 1 / (60 + x[2]))) score from ranks),
-fused as (select query_id, chunk_id, r, score, row_number() over (partition by query_id order by round(score, 12) desc, r[1], chunk_id) rank from scored qualify rank <= 10)"""
+fused as materialized (select query_id, chunk_id, r, score, row_number() over (partition by query_id order by round(score, 12) desc, r[1], chunk_id) rank from scored qualify rank <= 10)"""
 _NAMES = "array_to_string(list_transform(r, lambda x: ['semantic', 'lexical', 'graph', 'timeline'][x[1] + 1]), ',') signals, array_to_string(list_transform(r, lambda x: x[2]), ',') places"
 _SEARCH = f", {_ASKS}, {_HASH}, {_SEMANTIC}, {_LEX}, {_LEXICAL}, {_TIME}, {_GRAPH}, " + _FUSE.format(" union all ".join(f"select ask_id query_id, chunk_id, {i} s, rank from {n}" for i, n in enumerate(fusion.ORDER)))
 _SEARCH_VIEWS = "plan chunk doc time pub dc"

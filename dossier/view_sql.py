@@ -108,7 +108,7 @@ tagged as (
   select document_id, a, b, company_id from (select * from cash union all select * from exchange) t join tick using (ticker)
   where not exists (select 1 from taken n where used and n.document_id = t.document_id and n.a < t.b and t.a < n.b)),
 mention as (select document_id, company_id, a, b from taken where used union all select document_id, company_id, a, b from tagged),
-dc as (select distinct document_id, company_id from mention)"""
+dc as materialized (select distinct document_id, company_id from mention)"""
 
 SQL = {
     "time": _PUBLISHED,
