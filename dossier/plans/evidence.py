@@ -218,6 +218,18 @@ def foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, (orphans(*r) for r in RELATIONS))
 
 
+def fused_context(spark: SparkSession, folder: str) -> DataFrame:
+    """What a report is drafted from: each investigation's latest question and its evidence that was not rejected, numbered by query and id, excerpts cut to 500 characters.
+
+    An investigation's text is one value by its nature, as large as its evidence.
+    """
+    latest = views.latest(views.plans(spark, folder), ["investigation_id"], F.desc("version"), F.desc("plan_id")).select("investigation_id", "question")
+    ev = views.evidence(spark, folder).where("investigation_id is not null and excerpt is not null and (review is null or review <> 'rejected')")
+    lines = ev.groupBy("investigation_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("query", F.lit("")).alias("query"), "evidence_id", T.truncated(F.col("excerpt"), 500).alias("text")))).alias("e"))
+    numbered = F.array_join(F.transform("e", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["text"])), "\n\n")
+    return latest.join(lines, "investigation_id").select("investigation_id", "question", F.size("e").cast("long").alias("evidence"), numbered.alias("context"))
+
+
 def stance_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence, chunks and documents per investigation and stance."""
     ev = views.evidence(spark, folder)
@@ -235,7 +247,7 @@ RELATIONS = (
 )
 
 QUERIES = {f.__name__: f for f in (
-    foreign_keys, stance_histogram, corroboration, source_score, contradictions, evidence_gaps, evidence_first_writer, confidence, citation_extract, citation_gate, citation_resolve, citation_display,
+    foreign_keys, fused_context, stance_histogram, corroboration, source_score, contradictions, evidence_gaps, evidence_first_writer, confidence, citation_extract, citation_gate, citation_resolve, citation_display,
     evidence_collect, replay_match, staleness_semi, latest_report, report_eval, retrieval_eval, name_resolution,
 )}
 
@@ -274,6 +286,12 @@ SQL = {
     "foreign_keys": " union all ".join(
         f"select '{c}.{k}' relation, count(*) orphans, count(distinct {k}) keys from {c} where {k} is not null and {k} not in (select {t} from {p} where {t} is not null)" for c, k, p, t in RELATIONS
     ),
+    "fused_context": with_views("plan ev", """, lat as (select * from plan qualify row_number() over (partition by investigation_id order by version desc, plan_id desc) = 1),
+lines as (select investigation_id, row_number() over (partition by investigation_id order by coalesce(query, ''), evidence_id) n, substring(excerpt, 1, 500) t from ev
+  where investigation_id is not null and excerpt is not null and (review is null or review <> 'rejected'))
+select investigation_id, question, count(*) evidence, string_agg('[' || n || '] ' || t, chr(10) || chr(10) order by n) context from lat join lines using (investigation_id) group by 1, 2"""),
+    "citation_display": with_views("rep", f""", {_CITES} select report_id, list_reduce(list_prepend(narrative, list_transform(coalesce(c, []), lambda x: x.chunk_id)), lambda s, x, i: replace(s, '[chunk:' || x || ']', '[' || (i - 1) || ']')) narrative
+from rep left join (select report_id, list({{'chunk_id': chunk_id}} order by number) c from cite group by 1) using (report_id) where narrative is not null"""),
     "stance_histogram": with_views("ev", "select investigation_id, stance, count(*) evidence, count(distinct chunk_id) chunks, count(distinct document_id) documents from ev group by 1, 2"),
     "corroboration": with_views("ev doc time pub", f", {_CORR} select investigation_id, stance, document_id, corroborating, publishers from corr"),
     "source_score": with_views("ev doc time pub", f""", {_CORR} select investigation_id, stance, document_id, round(0.30 * {_TIER}::double

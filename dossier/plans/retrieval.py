@@ -217,6 +217,14 @@ where doc_type in ('news', 'filing') and source in ('rss', 'sec_edgar', 'wire_ar
 select q.vec_id query_id, v.vec_id item_id, round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (q.len * v.len), 6) score,
   row_number() over (partition by q.vec_id order by round(list_dot_product(q.embedding::double[], v.embedding::double[]) / (q.len * v.len), 6) desc, v.vec_id) rank
 from n q, n v where q.vec_id % 100 = 0 qualify rank <= 10""",
+    "near_dup_leader": """with recursive n as (select vec_id, embedding::double[] e, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))) len from embeddings where embedding is not null),
+hit as materialized (select q.vec_id query_id, v.vec_id item, v.e, v.len, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, v.e) / (q.len * v.len), 6) desc, v.vec_id) n
+  from n q, n v where q.vec_id % 100 = 0 qualify n <= 10),
+near as materialized (select a.query_id, a.n, list(b.n) earlier from hit a join hit b on a.query_id = b.query_id and b.n < a.n where round(list_dot_product(a.e, b.e) / (a.len * b.len), 6) >= 0.5 group by 1, 2),
+visit as (select query_id, n, item, true keep, [n] kept from hit where n = 1
+  union all select h.query_id, h.n, h.item, len(list_intersect(v.kept, coalesce(e.earlier, []))) = 0, case when len(list_intersect(v.kept, coalesce(e.earlier, []))) = 0 then list_append(v.kept, h.n) else v.kept end
+  from visit v join hit h on h.query_id = v.query_id and h.n = v.n + 1 left join near e on e.query_id = h.query_id and e.n = h.n)
+select query_id, item kept from visit where keep""",
     "lexical_match_topk": with_views("plan chunk", f""", {_QUESTIONS}, {_LEX} select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rank
 from question join lexscore using (query) qualify rank <= 10"""),
     "semantic_signal": with_views("plan chunk doc dc", f", {_ASKS}, {_HASH}, {_SEMANTIC} select ask_id, chunk_id, rank from semantic"),
