@@ -31,10 +31,10 @@ def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def as_runs(events: DataFrame) -> DataFrame:
-    """The stream's events as runs, second deliveries within the watermark dropped."""
+def as_runs(events: DataFrame, late: str = LATE) -> DataFrame:
+    """The stream's events as runs, second deliveries within the watermark dropped, and what comes more than ``late`` behind."""
     stages = F.array(*(F.lit(s) for s in views.STAGES))
-    rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE).dropDuplicatesWithinWatermark(["event_id"])
+    rows = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
     return rows.select("at", F.col("user_id").alias("document"), F.get(stages, (F.col("event_id") % 7).cast("int")).alias("stage"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("status"))
 
 
@@ -46,14 +46,17 @@ def hourly_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly windows of the whole table through a stream that ends when the table is used up.
 
     Each batch's new totals are appended as a table of their own batch; a batch that is run again
-    writes the same files again. The last total of a window counts.
+    writes the same files again. The last total of a window counts. Files come in any order, so the watermark waits for
+    as long as the table lasts.
     """
+    first, last = read_table(spark, folder, "events").agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    wait = f"{int((last - first).total_seconds()) // 3600 + 2 if first else 2} hours"
     target, state = shared_folder(spark), shared_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number:08d}")
 
-    counted = hourly(as_runs(event_stream(spark, folder)))
+    counted = hourly(as_runs(event_stream(spark, folder), wait))
     stream = counted.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
     stream.awaitTermination()
     rows = spark.read.parquet(target)

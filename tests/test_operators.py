@@ -4,6 +4,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from dossier.functions.text import text_features
 from dossier.operators import fusion, graph, lexical, scoring, vector
 
 
@@ -64,10 +67,42 @@ def test_leaders(spark):
 def test_search_needs_all_terms(spark):
     texts = spark.createDataFrame([("a", "the red car and the blue car"), ("b", "a red bicycle"), ("c", None), ("d", "car car red red"), ("e", "")], "key string, text string")
     queries = spark.createDataFrame([(1, "the Red car"), (2, "the of"), (3, "green"), (4, None)], "query_id int, query string")
-    got = lexical.search(queries, lexical.postings(texts, "key", "text"), texts, "key", "text", 10).orderBy("rank").collect()
+    index = text_features(texts, "text", "key")
+    got = queries.join(lexical.scores(queries, index, "key"), "query").orderBy("query_id", F.desc("score")).collect()
     assert [(r["query_id"], r["key"]) for r in got] == [(1, "d"), (1, "a")]
 
 
+def test_group_tops_against_brute_force(spark, monkeypatch):
+    """Items in several groups, kinds, ties, more blocks than one."""
+    monkeypatch.setattr(vector, "ITEM_BLOCK", 20)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    unit = lambda: (v := rng.integers(-2, 3, 6).astype(float)) / max(np.linalg.norm(v), 1)
+    items = [(f"i{n:03d}", "xyz"[n % 3], sorted(rng.choice(["a", "b", "c"], rng.integers(0, 4), replace=False).tolist()), list(range(6)), unit().tolist()) for n in range(100)] + [("none", "x", ["a"], [], [])]
+    asks = [(f"q{n}", (None, ["x"], ["y", "z"])[n % 3], list(range(6)), unit().tolist(), [("a", 3), ("c", 1), ("absent", 5)]) for n in range(7)]
+    table = spark.createDataFrame(asks, "ask_id string, kinds array<string>, dims array<int>, weights array<double>, wanted array<struct<group: string, share: int>>")
+    known = spark.createDataFrame(items, "item_id string, kind string, groups array<string>, dims array<int>, weights array<double>")
+    got = {(r["ask_id"], r["group"], r["place"]): r["item_id"] for r in vector.group_tops(table, known, 6).collect()}
+    want = {}
+    for ask, kinds, _, q, wanted in asks:
+        for group, share in wanted:
+            scored = sorted((-round(float(np.dot(q, w)), 6) + 0.0, i) for i, kind, groups, dims, w in items if dims and group in groups and (kinds is None or kind in kinds))
+            want |= {(ask, group, n): i for n, (_, i) in enumerate(scored[:share], 1)}
+    assert got == want
+
+
+def test_merged_hits_name_other_documents(spark):
+    v = lambda *w: (list(range(len(w))), [float(x) for x in w])
+    rows = [
+        ("g", "c1", "d1", "h1", 0.9, 1, *v(1, 0)), ("g", "c2", "d2", "h2", 0.8, 2, *v(0.97, 0.2431)), ("g", "c3", "d1", "h3", 0.8, 3, *v(1, 0)), ("g", "c4", "d4", "h4", 0.7, 4, *v(0.9699, 0.2435)),
+        ("g", "c5", "d5", "h4", 0.6, 5, *v(0, 1)), ("g", "c6", "d6", None, 0.5, 6, None, None), ("g", "c7", "d7", "h4", 0.4, 7, [], []), ("f", "c1", "d1", "h1", 0.1, 1, *v(1, 0)),
+    ]
+    table = spark.createDataFrame(rows, "group string, item_id string, document_id string, checksum string, score double, place int, dims array<int>, weights array<double>")
+    got = {(r["group"], r["item_id"]): r["corroborated_by"] for r in vector.merge_near(table, 0.97, 2).collect()}
+    assert got == {("g", "c1"): ["d2"], ("g", "c4"): ["d5", "d7"], ("g", "c6"): [], ("f", "c1"): []}
+    assert vector.merge_near(table.limit(0), 0.97, 2).count() == 0
+
+
 def test_confidence_cases(spark):
     schema = "investigation_id string, document_id string, source string, doc_type string, published date, stance string, review string"
     from datetime import date

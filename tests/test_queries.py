@@ -40,7 +40,9 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["query_id", "rank", "chunk_id", "document_id", "title", "source", "score", "signals"]
+    found = entry.entry(spark)
+    assert found.columns == ["ask_id", "rank", "chunk_id", "document_id", "title", "url", "source", "doc_type", "text", "score", "signals", "places"]
+    assert found.count() > 0
 
 
 def test_core_does_not_need_llm():

@@ -1,5 +1,6 @@
 import json
 
+from dossier import views
 from dossier.sources import feeds
 from dossier.streaming import runs
 
@@ -45,3 +46,16 @@ def test_streaks(spark, tmp_path):
     query = stream.writeStream.outputMode("update").format("memory").queryName("streaks").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from streaks").collect()} == {(1, 0), (2, 2)}
+
+
+def test_files_in_any_order_lose_nothing(spark, tmp_path):
+    """Days in separate files, the last one first: hours in the stream are those of the table."""
+    from datetime import datetime, timedelta
+
+    first = datetime(2024, 1, 1)
+    for day in (9, 0, 5, 2):
+        rows = [(day * 100 + i, first + timedelta(days=day, minutes=37 * i), 1, "error" if i % 3 else "view", 1.0) for i in range(30)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    counted = {(r["stage"], str(r["window"]["start"])): (r["runs"], r["failures"]) for r in runs.hourly_stream(spark, str(tmp_path)).collect()}
+    table = runs.hourly(views.runs(spark, str(tmp_path)))
+    assert counted == {(r["stage"], str(r["window"]["start"])): (r["runs"], r["failures"]) for r in table.collect()} and len(counted) > 60

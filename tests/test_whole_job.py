@@ -88,19 +88,21 @@ def test_published_is_read_in_every_format(spark, tmp_path):
     assert {r["document_id"] for r in retrieval.filter_metadata(spark, folder).collect()} == in_range
 
 
-PLANS = "plan_id long, investigation_id string, version int, companies array<string>, queries array<string>, created_at timestamp, loaded_at timestamp"
+PLANS = "plan_id long, investigation_id string, version int, companies array<string>, doc_types array<string>, queries array<string>, created_at timestamp, loaded_at timestamp"
 CHUNKS = "chunk_id string, document_id string, position int, pipeline_version int, text string, loaded_at timestamp, deleted_at timestamp"
 
 
 def test_every_query_of_a_plan_is_asked_whole(spark, tmp_path):
     seen = datetime(2026, 1, 1)
-    plans = [(100, "i", 1, [], ["margin demand Betacorp", None, "rail freight"], seen, seen), (101, "i", 1, [], ["rail freight"], seen, seen), (200, "j", 1, [], None, seen, seen)]
+    plans = [(100, "i", 1, [], [], ["margin demand Betacorp", None, "rail freight"], seen, seen), (101, "i", 1, [], None, ["rail freight"], seen, seen), (200, "j", 1, [], None, None, seen, seen)]
+    documents_table(spark, tmp_path, [(1, "d", 1, "rss", "p", "news", "t", None, seen, "Alphazon and Betacorp")])
+    spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
     spark.createDataFrame(plans, PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
     texts = {"k1": "margin demand of others", "k2": "demand and margin at Betacorp", "k3": "freight by rail"}
     spark.createDataFrame([(k, "d", 0, 1, t, seen, None) for k, t in texts.items()], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
     got = {(r["query_id"], r["chunk_id"]) for r in retrieval.lexical_match_topk(spark, str(tmp_path)).collect()}
     assert got == {("100-0", "k2"), ("100-2", "k3")}
-    best = {r["query_id"]: r["chunk_id"] for r in retrieval.semantic_signal(spark, str(tmp_path)).where("rank = 1").collect()}
+    best = {r["ask_id"]: r["chunk_id"] for r in retrieval.semantic_signal(spark, str(tmp_path)).where("rank = 1").collect()}
     assert best == {"100-0": "k2", "100-2": "k3"}
 
 
@@ -108,7 +110,7 @@ def test_graph_signal_ranks_all_chunks_of_neighbours_by_the_question(spark, tmp_
     seen = datetime(2026, 1, 1)
     documents_table(spark, tmp_path, [(1, "d1", 1, "rss", "p", "news", "t", None, seen, "Alphazon and Betacorp"), (2, "d2", 1, "rss", "p", "news", "t", None, seen, "Betacorp and Gammaline"), (3, "d3", 1, "rss", "p", "news", "t", None, seen, "Betacorp alone")])
     spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
-    plans = [(7, "i", 1, ["Alphazon"], ["rail freight", "copper mine"], seen, seen)]
+    plans = [(700, "i", 1, ["Alphazon"], ["news"], ["rail freight", "copper mine"], seen, seen)]
     spark.createDataFrame(plans, PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
     # c2 is one step away (d1, d2, d3), c3 two (d2): 15 places each
     texts = {f"a{i:02d}": ("d3", f"filler number {i}") for i in range(20)} | {"y1": ("d3", "rail freight"), "y2": ("d3", "a copper mine"), "z1": ("d2", "rail and freight on rail"), "z2": ("d1", "copper")}
@@ -118,22 +120,39 @@ def test_graph_signal_ranks_all_chunks_of_neighbours_by_the_question(spark, tmp_
     for r in text_functions.feature_hash(rows, "chunk_id", "text").collect():
         hashed.setdefault(r["chunk_id"], {})[r["dim"]] = r["weight"]
     want = set()
-    for place, query in enumerate(plans[0][4]):
+    for place, query in enumerate(plans[0][5]):
         q = {r["dim"]: r["weight"] for r in text_functions.feature_hash(spark.createDataFrame([(1, query)], "k int, t string"), "k", "t").collect()}
         order = sorted(texts, key=lambda k: (-round(sum(w * hashed[k].get(d, 0) for d, w in q.items()), 6), k))
         ids = []
         for docs in ({"d1", "d2", "d3"}, {"d2"}):
             ids += [k for k in [k for k in order if texts[k][0] in docs][:15] if k not in ids]
-        want |= {(f"7-{place}", k, rank) for rank, k in enumerate(ids, 1)}
-    got = {(r["query_id"], r["chunk_id"], r["rank"]) for r in retrieval.graph_signal(spark, str(tmp_path)).collect()}
+        want |= {(f"700-{place}-c1", k, rank) for rank, k in enumerate(ids, 1)}
+    got = {(r["ask_id"], r["chunk_id"], r["rank"]) for r in retrieval.graph_signal(spark, str(tmp_path)).collect()}
     assert got == want
-    assert {(q, k) for q, k, rank in got if rank == 1} == {("7-0", "y1"), ("7-1", "y2")}
+    assert {(q, k) for q, k, rank in got if rank == 1} == {("700-0-c1", "y1"), ("700-1-c1", "y2")}
 
 
 def test_short_entries_are_resolved_by_ticker_and_alias(spark, tmp_path):
     seen = datetime(2026, 1, 1)
     listed = [("c1", "Alphazon Systems Inc.", ["ALZ"], ["Az"]), ("c2", "Betacorp", ["B"], [])]
     spark.createDataFrame(listed, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
-    spark.createDataFrame([(1, "i", 1, ["alz", "B", "Az", "Bet", "betac", " ", "", None], [], seen, seen)], PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
+    spark.createDataFrame([(1, "i", 1, ["alz", "B", "Az", "Bet", "betac", " ", "", None], [], [], seen, seen)], PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
     got = {tuple(r) for r in evidence.name_resolution(spark, str(tmp_path)).select("entry", "company_id").collect()}
     assert got == {("alz", "c1"), ("B", "c2"), ("Az", "c1"), ("betac", "c2")}
+
+
+def test_search_keeps_to_kinds_company_and_time_frame(spark, tmp_path):
+    """A plan that wants filings on one company: no other kind or company in the semantic and full-text signals, only its year in the timeline."""
+    seen = datetime(2024, 6, 1)
+    rows = [("d1", "filing", "2024-03-01T00:00:00Z", "Alphazon rail"), ("d2", "news", "2024-04-01T00:00:00Z", "Alphazon rail"), ("d3", "filing", "2023-03-01T00:00:00Z", "Alphazon rail"), ("d4", "filing", "2024-03-01T00:00:00Z", "Betacorp rail")]
+    schema = "doc_id long, document_id string, feed_id int, source string, publisher string, doc_type string, title string, published_at string, ingested_at timestamp, text string, url string"
+    documents_table(spark, tmp_path, [(i, d, 1, "rss", "p", kind, "t", at, seen, text, None) for i, (d, kind, at, text) in enumerate(rows)], schema)
+    spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    spark.createDataFrame([(1, "UTC", "en-GB")], "feed_id int, time_zone string, locale string").write.parquet(f"{tmp_path}/feeds.parquet")
+    spark.createDataFrame([(100, "i", 1, ["Alphazon"], ["filing"], ["rail"], seen, seen)], PLANS).write.parquet(f"{tmp_path}/research_plans.parquet")
+    spark.createDataFrame([(f"k-{d}", d, 0, 1, text, seen, None) for d, _, _, text in rows], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    folder = str(tmp_path)
+    assert {r["chunk_id"] for r in retrieval.semantic_signal(spark, folder).collect()} == {"k-d1", "k-d3"}
+    assert [r["chunk_id"] for r in retrieval.timeline_signal(spark, folder).orderBy("rank").collect()] == ["k-d2", "k-d1"]
+    got = {r["chunk_id"]: (r["signals"], r["places"]) for r in retrieval.hybrid_search(spark, folder).collect()}
+    assert got == {"k-d1": ("semantic,lexical,timeline", "1,1,2"), "k-d3": ("semantic,lexical", "2,2"), "k-d2": ("timeline", "1")}
