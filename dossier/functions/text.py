@@ -14,8 +14,9 @@ BUDGET = 250  # words after which a chunk is closed
 DIMENSIONS = 384
 BLANKS = r"[\s\p{Z}]+"
 
-# Fixed value: legal suffixes stripped from a registered name to get an alias.
-SUFFIX = r"(?i),?\s+(incorporated|inc|corporation|corp|company|co|limited|ltd|plc|group|holdings|llc|lp|nv|sa|ag)\.?$"
+# Legal endings of registered names, of which one is stripped to get an alias.
+ENDINGS = "inc corp corporation co company ltd plc sa nv ag holding holdings group lp llc"
+SUFFIX = rf"(?i)\s+({'|'.join(ENDINGS.split())})\.?$"
 
 
 def words_of(text: Column) -> Column:

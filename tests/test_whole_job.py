@@ -8,6 +8,7 @@ import pytest
 
 from dossier import views
 from dossier.functions import text as text_functions
+from dossier.operators import entities
 from dossier.plans import graph as graph_plans
 from dossier.plans import evidence, ingest, retrieval
 
@@ -56,6 +57,13 @@ def test_documents_mention_companies_by_name_alias_and_tag(spark, mentions_folde
     assert edges == {(a, b, d) for d, t in TEXTS.items() for a, b in combinations(sorted(mentioned(t)), 2)} and len(edges) == 3
 
 
+def test_a_list_too_long_for_a_task_finds_the_same(spark, mentions_folder):
+    texts = spark.read.parquet(f"{mentions_folder}/documents.parquet").select("document_id", "text")
+    listed = spark.read.parquet(f"{mentions_folder}/companies.parquet").select("company_id", "name", "tickers", "aliases")
+    sent, joined = ({tuple(r) for r in entities.find_entities(texts, "document_id", "text", listed, most).collect()} for most in (10, 2))
+    assert sent == joined and len(sent) > 5
+
+
 PUBLISHED = [  # raw value, feed, UTC instant; feed 1 is New York, month first, feed 2 Berlin, day first
     ("2024-03-15", 2, "2024-03-14 23:00"),  # local midnight in Berlin
     ("1718444400", 1, "2024-06-15 09:40"),
