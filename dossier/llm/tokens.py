@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def document_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 
     Deliveries of the same ``document_id`` count once, as the one with the smallest ``doc_id``;
     rows without a ``document_id`` are documents of their own. A NULL text has 0 tokens. The
-    text itself is not shuffled.
+    text itself is not shuffled. The vocabulary file is read on the driver's machine and sent with the job.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    sent = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(sent)).encode_ordinary
         for batch in batches:
             sizes = np.fromiter((len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "document_id", "source")), pa.array(sizes)], names=["doc_id", "document_id", "source", "tokens"])
