@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from dossier import views
 from dossier.functions import text as T
+from dossier.session import read_table, spread
 from dossier.view_sql import with_views
 
 
 def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's paragraphs packed into chunks."""
-    docs = views.documents(spark, folder).select("document_id", "text")
+    rows = spread(read_table(spark, folder, "documents").select("doc_id", "document_id", "ingested_at", "text"))
+    docs = views.first_deliveries(rows, "document_id", "ingested_at", "doc_id").select("document_id", "text")
     spans = docs.select("document_id", "text", F.posexplode(T.packed_spans(F.col("text"))).alias("position", "span"))
     piece = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
     return spans.select("document_id", "position", F.col("span.start").alias("char_start"), F.col("span.end").alias("char_end"), F.size(T.words_of(piece)).alias("token_count"))
