@@ -37,3 +37,31 @@ def test_the_newer_delivery_of_a_chunk_is_the_one_indexed(spark, tmp_path):
     held = views.chunk_index(spark, str(tmp_path), ["margin", "old"], vectors=False)
     found = [b for r in held.collect() for b in blocks.Block(__import__("pyarrow").ipc.open_stream(bytes(r["packed"])).read_all()).table.to_pylist()]
     assert {(b["item_id"], tuple(b["codes"]), b["length"]) for b in found} == {("k", (0,), 3), ("l", (), 0)}
+
+
+def test_the_semantic_signal_alone_builds_no_graph(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from dossier.operators import graph
+    from dossier.plans import retrieval
+
+    seen = datetime(2026, 1, 1)
+    companies = [("c1", "Alphazon Systems", [], ["Alphazon"]), ("c2", "Betacorp Holdings", [], [])]
+    spark.createDataFrame(companies, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    texts = [(1, "d1", "Alphazon met Betacorp Holdings over rail"), (2, "d2", "Betacorp Holdings on rail")]
+    spark.createDataFrame([(n, d, "news", seen, t) for n, d, t in texts], "doc_id long, document_id string, doc_type string, ingested_at timestamp, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"k{n}", d, seen, t) for n, d, t in texts], "chunk_id string, document_id string, loaded_at timestamp, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    plans = [(100, ["Alphazon"], None, ["rail"], seen, seen), (200, [], None, ["rail"], seen, seen)]
+    spark.createDataFrame(plans, "plan_id long, companies array<string>, doc_types array<string>, queries array<string>, created_at timestamp, loaded_at timestamp").write.parquet(f"{tmp_path}/research_plans.parquet")
+    monkeypatch.setattr(graph, "co_mentions", None)  # whoever calls it fails
+    got = {(r["ask_id"], r["rank"], r["chunk_id"]) for r in retrieval.semantic_signal(spark, str(tmp_path)).collect()}
+    assert got == {("100-0-c1", 1, "k1"), ("200-0", 1, "k2"), ("200-0", 2, "k1")}
+
+
+def test_companies_named_together_are_found_without_a_join(spark):
+    from dossier.operators import graph
+
+    rows = [("d1", "b"), ("d1", "a"), ("d1", "a"), ("d1", "c"), ("d2", "a"), ("d3", None), (None, "a"), *[("d4", f"x{n:02d}") for n in range(13)]]
+    edges = graph.co_mentions(spark.createDataFrame(rows, "document_id string, company_id string"))
+    assert {tuple(r) for r in edges.collect()} == {("a", "b", "d1"), ("a", "c", "d1"), ("b", "c", "d1")}
+    assert "Join" not in edges._jdf.queryExecution().toString()
