@@ -134,3 +134,12 @@ def test_pairs_with_some_hot_words_are_found(spark):
     want = brute(rows, 3, 0.5)
     assert len(want) >= 50
     assert found(spark, rows, words=3, threshold=0.5) == want
+
+
+def test_whether_a_pair_is_found_does_not_depend_on_other_records(spark):
+    """With one segment most pairs are missed: the same ones, alone and among as many others as move log2 of the records."""
+    rows = corpus(8, 60, 120)
+    others = [(f"x{i:05d}", " ".join(f"x{i}-{j}" for j in range(4))) for i in range(2300)]
+    alone, among = (found(spark, r, words=3, threshold=0.5, segments=1) for r in (rows, rows + others))
+    assert 0 < len(alone) < len(brute(rows, 3, 0.5))
+    assert {p for p in among if p[0][0] != "x"} == alone
