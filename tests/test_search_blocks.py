@@ -65,3 +65,59 @@ def test_companies_named_together_are_found_without_a_join(spark):
     edges = graph.co_mentions(spark.createDataFrame(rows, "document_id string, company_id string"))
     assert {tuple(r) for r in edges.collect()} == {("a", "b", "d1"), ("a", "c", "d1"), ("b", "c", "d1")}
     assert "Join" not in edges._jdf.queryExecution().toString()
+
+
+def test_a_block_holds_whole_numbers_and_scores_as_weights_do(spark, tmp_path):
+    """The index shuffles and stores no fractions; its vectors are those of ``text_features`` to the last bit."""
+    from datetime import datetime
+
+    import numpy as np
+    import pyarrow as pa
+
+    from dossier import views
+    from dossier.functions import text
+
+    rows = [(f"k{n}", "d", t, datetime(2026, 1, 1)) for n, t in enumerate(["rail rail freight of copper", "", None, "margin " * 70_000, *(" ".join(f"w{n * m % 97}" for m in range(60)) for n in range(5))])]
+    spark.createDataFrame(rows, "chunk_id string, document_id string, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/chunks.parquet")
+    held = [blocks.Block(pa.ipc.open_stream(bytes(r["packed"])).read_all()) for r in views.chunk_index(spark, str(tmp_path), []).collect()]
+    assert all(b.table["weights"].null_count == len(b.ids) and b.table["counts"].type == pa.list_(pa.int32()) for b in held)
+    got = {k.decode(): column for b in held for k, column in zip(b.ids.tolist(), b.columns(text.DIMENSIONS).T)}
+    want = {r["chunk_id"]: dict(zip(r["dims"], r["weights"])) for r in text.text_features(spark.read.parquet(f"{tmp_path}/chunks.parquet"), "text", "chunk_id").collect()}
+    assert got.keys() == want.keys()
+    assert all(np.array_equal(got[k], [want[k].get(d, 0.0) for d in range(text.DIMENSIONS)]) for k in want)
+
+
+def test_asks_of_many_groups_are_sent_in_parts(spark, monkeypatch):
+    """What a task holds of the asks is bounded by their groups, too; the result doesn't depend on it."""
+    items = spark.range(50).select(F.format_string("i%03d", "id").alias("item_id"), F.lit("x").alias("kind"), F.array(F.concat(F.lit("g"), F.col("id") % 5)).alias("groups"), F.array(F.lit(0)).alias("dims"), F.array(F.lit(1.0)).alias("weights"))
+    asks = spark.createDataFrame([(f"q{n}", None, [0], [1.0], [(f"g{m}", 2) for m in range(5)]) for n in range(12)], "ask_id string, kinds array<string>, dims array<int>, weights array<double>, wanted array<struct<group: string, share: int>>")
+    packed = blocks.pack(items, 10)
+    whole = {tuple(r) for r in vector.group_tops(asks, packed, 2).collect()}
+    sent, one = [], vector._round
+    monkeypatch.setattr(vector, "_round", lambda some, *rest: (sent.append(some.count()), one(some, *rest))[1])
+    monkeypatch.setattr(vector, "WANTED_BLOCK", 20)
+    assert {tuple(r) for r in vector.group_tops(asks, packed, 2).collect()} == whole
+    assert len(whole) == 12 * 5 * 2 and len(sent) == 3 and sum(sent) == 12
+
+
+def test_a_search_moves_no_texts_to_show_its_few_hits(spark, tmp_path):
+    from dossier.plans import retrieval
+
+    spark.createDataFrame([("k1", "d", "rail"), ("k2", "d", "freight"), ("k1", "d", "rail")], "chunk_id string, document_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = retrieval.among(spark, str(tmp_path), spark.createDataFrame([("k1",), ("k1",)], "chunk_id string"), "text")
+        assert [tuple(r) for r in shown.collect()] == [("k1", "rail")] * 2
+        assert "SortMergeJoin" not in shown._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_keys_of_companies_sort_as_their_ids(spark, tmp_path):
+    from dossier import views
+
+    ids = [f"{n * 7919 % 300:x}-c" for n in range(300)]
+    spark.createDataFrame([(i,) for i in [*ids, ids[0], None]], "company_id string").write.parquet(f"{tmp_path}/companies.parquet")
+    keys = {r["company_id"]: r["key"] for r in views.company_keys(spark, str(tmp_path)).collect()}
+    assert sorted(keys, key=keys.get) == sorted(set(ids)) and len(set(keys.values())) == 300
