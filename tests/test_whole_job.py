@@ -164,3 +164,17 @@ def test_search_keeps_to_kinds_company_and_time_frame(spark, tmp_path):
     assert [r["chunk_id"] for r in retrieval.timeline_signal(spark, folder).orderBy("rank").collect()] == ["k-d2", "k-d1"]
     got = {r["chunk_id"]: (r["signals"], r["places"]) for r in retrieval.hybrid_search(spark, folder).collect()}
     assert got == {"k-d1": ("semantic,lexical,timeline", "1,1,2"), "k-d3": ("semantic,lexical", "2,2"), "k-d2": ("timeline", "1")}
+
+
+def test_a_replay_moves_no_texts_to_look_at_its_hits(spark, tmp_path, monkeypatch):
+    """The texts of hits, of which evidence is made, are found by the lookup that leaves all others where they lie."""
+    asked = spark.createDataFrame([("100-0", 100, 0, 0)], "ask_id string, plan_id long, place int, ordinal int")
+    found = spark.createDataFrame([("100-0", "k1", 0.5, 1)], "ask_id string, chunk_id string, score double, rank long")
+    monkeypatch.setattr(retrieval, "asks", lambda *_: asked)
+    monkeypatch.setattr(retrieval, "run_search", lambda *_: found)
+    seen = datetime(2026, 1, 1)
+    spark.createDataFrame([("k1", "d1", 0, 1, "rail freight", seen, None), ("k2", "d2", 0, 1, "copper", seen, None)], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    looked_up, lookup = [], retrieval.among
+    monkeypatch.setattr(retrieval, "among", lambda spark, folder, wanted, *columns: (looked_up.append(columns), lookup(spark, folder, wanted, *columns))[1])
+    assert [(r["chunk_id"], r["document_id"]) for r in evidence._collected(spark, str(tmp_path)).collect()] == [("k1", "d1")]
+    assert looked_up == [("document_id", "text")]
