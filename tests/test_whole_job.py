@@ -178,3 +178,22 @@ def test_a_replay_moves_no_texts_to_look_at_its_hits(spark, tmp_path, monkeypatc
     monkeypatch.setattr(retrieval, "among", lambda spark, folder, wanted, *columns: (looked_up.append(columns), lookup(spark, folder, wanted, *columns))[1])
     assert [(r["chunk_id"], r["document_id"]) for r in evidence._collected(spark, str(tmp_path)).collect()] == [("k1", "d1")]
     assert looked_up == [("document_id", "text")]
+
+
+def test_an_evaluation_searches_the_texts_for_companies_once(spark, tmp_path, monkeypatch):
+    """Expected documents aren't listed: of those found, the first one of an entered company and kind counts."""
+    seen = datetime(2024, 6, 1)
+    schema = "doc_id long, document_id string, feed_id int, source string, publisher string, doc_type string, title string, published_at string, ingested_at timestamp, text string, url string"
+    rows = [("d1", "news", "Betacorp rail freight"), ("d2", "filing", "Alphazon on rail"), ("d3", "news", "Alphazon on rail tracks")]
+    documents_table(spark, tmp_path, [(i, d, 1, "rss", "p", kind, "t", None, seen, text, None) for i, (d, kind, text) in enumerate(rows)], schema)
+    spark.createDataFrame(COMPANIES, "company_id string, name string, tickers array<string>, aliases array<string>").write.parquet(f"{tmp_path}/companies.parquet")
+    spark.createDataFrame([(1, "UTC", "en-GB")], "feed_id int, time_zone string, locale string").write.parquet(f"{tmp_path}/feeds.parquet")
+    plans = [(100, ["Alphazon"], None, "rail freight"), (200, ["Alphazon"], ["news"], "on rail"), (300, ["Gammaline"], None, "rail"), (400, ["Betacorp"], ["filing"], "rail"), (500, ["Betacorp"], ["news"], "rail freight")]
+    spark.createDataFrame([(p, "i", 1, c, k, [], seen, seen, q) for p, c, k, q in plans], PLANS + ", question string").write.parquet(f"{tmp_path}/research_plans.parquet")
+    spark.createDataFrame([(f"k-{d}", d, 0, 1, text, seen, None) for d, _, text in rows], CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    calls, find = [], entities.find_entities
+    monkeypatch.setattr(entities, "find_entities", lambda *a: (calls.append(1), find(*a))[1])
+    got = evidence.retrieval_eval(spark, str(tmp_path)).first().asDict()
+    assert len(calls) == 1
+    # 100: d2 after d1; 200: d3, second by cosine and third by terms, after d2 and d1; 300 and 400 have no document; 500: d1 first
+    assert (got["questions"], got["skipped"], got["hit_rate_3"], got["mrr"]) == (3, 2, 1.0, round((1 / 2 + 1 / 3 + 1) / 3, 6))
