@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from dossier.plans import retrieval
+from dossier.plans import evidence, retrieval
 
 SEEN = datetime(2024, 6, 1)
 PLANS = "plan_id long, investigation_id string, version int, companies array<string>, doc_types array<string>, queries array<string>, created_at timestamp, loaded_at timestamp, question string"
@@ -36,3 +36,8 @@ ASKED = {("7-0-c1", "k-d1"), ("100-0-c2", "k-d2"), ("101-0-c2", "k-d2"), ("101-1
 
 def test_the_search_takes_every_plan(spark, folder):
     assert {(r["ask_id"], r["chunk_id"]) for r in retrieval.hybrid_search(spark, folder).collect()} == ASKED
+
+
+def test_a_replay_takes_every_plan(spark, folder):
+    got = {tuple(r) for r in evidence.replay_match(spark, folder).select("plan_id", "recorded", "again", "both", "same").collect()}
+    assert got == {(7, 1, 1, 1, True), (100, 0, 1, 0, False), (101, 1, 1, 0, False)}  # of 101's two queries the first brings up the chunk
