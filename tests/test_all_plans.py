@@ -41,3 +41,8 @@ def test_the_search_takes_every_plan(spark, folder):
 def test_a_replay_takes_every_plan(spark, folder):
     got = {tuple(r) for r in evidence.replay_match(spark, folder).select("plan_id", "recorded", "again", "both", "same").collect()}
     assert got == {(7, 1, 1, 1, True), (100, 0, 1, 0, False), (101, 1, 1, 0, False)}  # of 101's two queries the first brings up the chunk
+
+
+def test_an_evaluation_takes_every_plan(spark, folder):
+    got = evidence.retrieval_eval(spark, folder).first().asDict()
+    assert (got["questions"], got["skipped"], got["hit_rate_3"], got["mrr"]) == (3, 0, 1.0, 1.0)
