@@ -46,3 +46,7 @@ def test_a_replay_takes_every_plan(spark, folder):
 def test_an_evaluation_takes_every_plan(spark, folder):
     got = evidence.retrieval_eval(spark, folder).first().asDict()
     assert (got["questions"], got["skipped"], got["hit_rate_3"], got["mrr"]) == (3, 0, 1.0, 1.0)
+
+
+def test_the_semantic_signal_takes_every_plan(spark, folder):
+    assert {(r["ask_id"], r["chunk_id"]) for r in retrieval.semantic_signal(spark, folder).collect()} == ASKED
